@@ -143,15 +143,16 @@ def merge(symbol: np.ndarray, v: Vocabulary) -> np.ndarray:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.names = np.array([str(i) for i in range(max(vocabulary.tokens) + 1)], dtype=object)
-        self.shown = np.array([vocabulary.tokens.get(i) for i in range(max(vocabulary.tokens) + 1)], dtype=object)
+        self.names = np.array([b"%d" % i for i in range(max(vocabulary.tokens) + 1)], dtype=object)
+        self.shown = np.array([vocabulary.tokens.get(i, "").encode() for i in range(max(vocabulary.tokens) + 1)], dtype=object)
         self.marked = regex.compile(vocabulary.words.pattern + "|\\n")
         self.forget()
 
     def forget(self) -> None:
         """Empty the memory of words: ids as decimal text, and the tokens that they decode to. A line end marks a special token."""
-        self.known = {f"\n{t}": str(i) for t, i in self.v.special.items()}
-        self.decoded = {f"\n{t}": t for t in self.v.special}
+        self.empty = False
+        self.known = {f"\n{t}": b"%d" % i for t, i in self.v.special.items()}
+        self.decoded = {f"\n{t}": t.encode() for t in self.v.special}
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words, none of which holds a line end, and decode their ids."""
@@ -170,7 +171,8 @@ class Encoder:
                 if self.v.words.search(unicodedata.normalize("NFC", w)):
                     self.learn([w]) if len(new) > 1 else self._keep(new, raw, end, third)
                 else:
-                    self.known[w] = self.decoded[w] = ""
+                    self.known[w] = self.decoded[w] = b""
+                    self.empty = True
             return
         self._keep(new, raw, end, third)
 
@@ -184,8 +186,8 @@ class Encoder:
         ids, owner = symbol[left], np.cumsum(third)[left]
         names, shown = self.names[ids].tolist(), self.shown[ids].tolist()
         cuts = np.searchsorted(owner, np.arange(len(new) + 1)).tolist()
-        self.known.update({w: " ".join(names[a:b]) for w, a, b in zip(new, cuts, cuts[1:], strict=False)})
-        self.decoded.update({w: " ".join(shown[a:b]) for w, a, b in zip(new, cuts, cuts[1:], strict=False)})
+        self.known.update({w: b" ".join(names[a:b]) for w, a, b in zip(new, cuts, cuts[1:], strict=False)})
+        self.decoded.update({w: b" ".join(shown[a:b]) for w, a, b in zip(new, cuts, cuts[1:], strict=False)})
 
     def words(self, text: str) -> list[str]:
         if any(t in text for t in self.v.special):
@@ -217,12 +219,11 @@ class Encoder:
             new = [w for w in used if w not in self.known]
         self.learn(new)
         out = []
-        empty = not all(map(self.known.__getitem__, used))
         for memo in (self.known, self.decoded):
-            if empty:
-                out.append([" ".join(filter(None, map(memo.__getitem__, flat[a:b]))).encode() for a, b in zip(offsets, offsets[1:], strict=False)])
+            if self.empty:
+                out.append([b" ".join(filter(None, map(memo.__getitem__, flat[a:b]))) for a, b in zip(offsets, offsets[1:], strict=False)])
             else:
-                taken = pa.array([memo[w].encode() for w in used], pa.binary()).take(coded.indices)
+                taken = pa.array(list(map(memo.__getitem__, used)), pa.binary()).take(coded.indices)
                 out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken), b" ").to_pylist())
         return out[0], out[1]
 
