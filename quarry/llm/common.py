@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,11 +25,23 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "quarry-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests on one machine)."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return at or os.path.join(tempfile.gettempdir(), "quarry-checkpoints")
+
+
+def through_parquet(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again, in the order of its files."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a driver-planned table of a known number of rows."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_ROWS, RESOLUTION, MAX_SOURCES = 32, 1000, 2000
+ADDED = ("weight", "block", "slot", "offset")
 
 
 def integer_weights(shares: Mapping[str, float], resolution: int) -> dict[str, int]:
@@ -89,7 +90,7 @@ def mix(
     most ``max_sources`` sources; more raise ValueError. Added columns replace columns of the same name.
     """
     spark = docs.sparkSession
-    rows = docs.drop("weight", "block", "slot", "offset").withColumns({
+    rows = docs.drop(*ADDED).withColumns({
         "_g": common.group_key(source),
         "_k": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))),
         "_t": F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))),
@@ -116,5 +117,12 @@ def mix(
     placed = placed.join(common.small(s, len(slots)), ["_p", "_g", "_j"])
     turn = F.floor((F.col("block") - F.col("_first")) / F.col("_a")).cast("long")
     return placed.withColumn("slot", F.col("_base") + turn * F.col("_w") + F.col("_slot")).select(
-        *[c for c in docs.columns if c not in ("weight", "block", "slot", "offset")], "weight", "block", "slot", "offset"
+        *[c for c in docs.columns if c not in ADDED], *ADDED
     )
+
+
+def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
+    """The rows of docs with their own columns, sorted into the mixed order: written, the order of files and rows is it."""
+    away = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ADDED}
+    out = mix(docs.withColumnsRenamed(away), weights, **options).orderBy("slot", "offset")
+    return out.drop(*ADDED).withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
