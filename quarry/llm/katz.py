@@ -4,15 +4,17 @@ p(w|v) is d(c)·c(vw)/c(v) where vw was seen in training and alpha(v)·p(w) else
 over what the unseen words have. p(w) is d(c)·c(w)/N for known words, and what these discounts leave for all unknown
 words together. Counts up to ``CUT`` are discounted by Good-Turing.
 
-The corpus is coded once: a chunk of documents has its own list of words and the tokens as numbers in it. Each chunk's
-list goes to the words' buckets, is counted there over the whole corpus, and comes back with the counts. Then every
-token goes, packed with its document, to the bucket of the word before it, where all that its probability takes lies
-together. A word so frequent that it would fill a bucket is dealt to several by its successors; sums over its
-successors are then added up across those buckets.
+A chunk of documents has its own list of words and the tokens as numbers in it. Each chunk's list goes to the words'
+buckets, is counted there over the whole corpus, and comes back with counts and global numbers. Then every token goes,
+packed with its document, to the bucket of the word before it, where all that its probability takes lies together. Two
+things are known only when all buckets are counted: the bigram discounts, and the sums over the successors of a word so
+frequent that it was dealt to several buckets by its successors. Buckets therefore keep, by document, the sum of what
+they know, how many of its bigrams have each discounted count, and which of its tokens back off from which context.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +24,16 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .packing import pack, unpack
 
 CUT = 5
-#: Tokens of a chunk of documents, and of a bucket (about), whatever the size of the corpus.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 3_000_000
-#: A word with more than this share of a bucket's tokens is dealt to several buckets.
-HOT_SHARE = 4
+#: Tokens of a chunk of documents, and bytes of text to a bucket, whatever the size of the corpus.
+CHUNK_TOKENS, BUCKET_BYTES = 2_200_000, 20_000_000
+#: A word seen more often is dealt to several buckets by its successors.
+HOT = 700_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 START, END = b" start", b" end"  # no word holds a space
 SEED = 17
@@ -77,8 +80,11 @@ class Unigrams:
 
 
 def encode(docs: DataFrame, key: str, text: str, folds: int, held: int, chunk_tokens: int) -> DataFrame:
-    """Chunks: (chunk, n, keys, held, words, counts, blob). blob: token count of each document, then the tokens' numbers."""
-    kind = docs.schema[key].dataType
+    """Chunks: (chunk, mark, keys, words, counts, blob), the same ones whenever the same rows are read in the same order.
+
+    mark tells chunks of different content apart. words: hashes in ascending order, the start among them; counts: in
+    training rows; blob: token count of each document, which are held out, the start's place, the tokens' places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -87,19 +93,21 @@ def encode(docs: DataFrame, key: str, text: str, folds: int, held: int, chunk_to
         def chunk() -> pa.RecordBatch:
             nonlocal number, keys, out, flat, lengths
             coded = pa.array(flat, pa.binary()).dictionary_encode()
-            ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
-            words = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
+            flat = []
+            hashes = [xxhash.xxh64_intdigest(w, SEED) for w in [*coded.dictionary.to_pylist(), START]]
+            words, place = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+            ids = place[coded.indices.to_numpy(zero_copy_only=False)].astype(np.uint32)
             size, away = np.array(lengths), np.array(out)
             counts = np.bincount(ids[~np.repeat(away, size)], minlength=len(words))
-            row = [[part << 32 | number], [len(ids)], [keys], [out], [pack(words)], [pack(counts)], [pack(size, ids)]]
-            types = [pa.int64(), pa.int64(), None, pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
-            cols = [pa.array(v, t) if t is not None else pa.array(v, pa.list_(keys_type)) for v, t in zip(row, types, strict=True)]
+            counts[place[-1]] += int((~away).sum())
+            blob = pack(size, away, place[-1:], ids)
+            mark = xxhash.xxh64_intdigest(words.tobytes() + blob) >> 1
+            row = [part << 32 | number], [mark], [pickle.dumps(keys)], [pack(words)], [pack(counts)], [blob]
             number += 1
-            keys, out, flat, lengths = [], [], [], []
-            return pa.RecordBatch.from_arrays(cols, ["chunk", "n", "keys", "held", "words", "counts", "blob"])
+            keys, out, lengths = [], [], []
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)], ["chunk", "mark", "keys", "words", "counts", "blob"])
 
         for b in batches:
-            keys_type = b.schema.field(0).type
             for k, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = tokens(t.as_py())
                 keys.append(k)
@@ -112,222 +120,240 @@ def encode(docs: DataFrame, key: str, text: str, folds: int, held: int, chunk_to
             yield chunk()
 
     fold = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
-    schema = f"chunk long, n long, keys array<{kind.simpleString()}>, held array<boolean>, words binary, counts binary, blob binary"
-    return docs.select(key, fold.alias("_h"), text).mapInArrow(run, schema)
+    return docs.select(key, fold.alias("_h"), text).mapInArrow(run, "chunk long, mark long, keys binary, words binary, counts binary, blob binary")
+
+
+SUMS = ", ".join(f"n{r} long" for r in range(1, CUT + 2))
 
 
 def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, back, total, distinct, n1..): counts of a chunk's words over the corpus; sums on one row a bucket."""
+    """(bucket, chunk, mark, back, total, distinct, n1..): counts and global numbers of a chunk's words in the order of
+    their hashes; the sums on one row a bucket. A bucket is a range of hashes."""
+    edges = [(k << 64) // buckets for k in range(1, buckets)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inner = np.array(edges, np.uint64)
         for b in batches:
-            for chunk, words, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for chunk, mark, words, counts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 (w,), (c,) = unpack(words), unpack(counts)
-                at = (w % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                cuts = np.searchsorted(at[order], np.arange(buckets + 1))
-                rows = [(k, pack(w[order[i:j]], c[order[i:j]])) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([p for _, p in rows], pa.binary())], ["bucket", "chunk", "part"])
+                cuts = [0, *np.searchsorted(w, inner).tolist(), len(w)]
+                rows = [(k, pack(w[i:j], c[i:j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+                cols = [k for k, _ in rows], [chunk] * len(rows), [mark] * len(rows), [p for _, p in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, [pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["bucket", "chunk", "mark", "part"])
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(rows["bucket"].iloc[0])
         parts = [unpack(p) for p in rows["part"]]
         words, place = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
         total = np.bincount(place, np.concatenate([c for _, c in parts]).astype(float), len(words)).round().astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.lexsort((words, -total))] = np.arange(len(words)) * buckets + bucket
         cuts = np.cumsum([len(w) for w, _ in parts])[:-1]
-        out = pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "back": [pack(total[p]) for p in np.split(place, cuts)]})
-        sums = {"total": total.sum(), "distinct": (total > 0).sum()} | {f"n{r}": (total == r).sum() for r in range(1, CUT + 2)}
+        out = pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "mark": rows["mark"], "back": [pack(total[p], number[p]) for p in np.split(place, cuts)]})
+        real = total[words != np.uint64(xxhash.xxh64_intdigest(START, SEED))]
+        sums = {"total": real.sum(), "distinct": (real > 0).sum()} | {f"n{r}": (real == r).sum() for r in range(1, CUT + 2)}
         for name, n in sums.items():  # once for the bucket
             out[name] = [int(n)] + [0] * (len(out) - 1)
         return out
 
-    dealt = chunks.select("chunk", "words", "counts").mapInArrow(deal, "bucket int, chunk long, part binary")
-    sums = ", ".join(f"n{r} long" for r in range(1, CUT + 2))
-    return dealt.groupBy("bucket").applyInPandas(count, f"bucket int, chunk long, back binary, total long, distinct long, {sums}")
+    dealt = chunks.select("chunk", "mark", "words", "counts").mapInArrow(deal, "bucket int, chunk long, mark long, part binary")
+    return dealt.groupBy("bucket").applyInPandas(count, f"bucket int, chunk long, mark long, back binary, total long, distinct long, {SUMS}")
 
 
 def deal_tokens(chunks: DataFrame, counted: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(bucket, blob): the tokens of a chunk by the bucket of the word before, in order of both words."""
-    start = np.uint64(xxhash.xxh64_intdigest(START, SEED))
+    """(bucket, keys, blob): the tokens of a chunk by the bucket of the word before, in order of both words' numbers.
+
+    On rows with a bucket below zero, the chunk's documents: their keys, token counts, known tokens and base scores.
+    """
 
     def deal(key: tuple, chunk: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        if not len(chunk) or not len(back):
+            raise RuntimeError("a chunk came out different when it was read again")
         base = int(key[0])
-        (words,), (size, ids) = unpack(chunk["words"].iloc[0]), unpack(chunk["blob"].iloc[0])
-        away = np.array(chunk["held"].iloc[0], bool)
-        at = (words % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(buckets + 1))
-        known = np.zeros(len(words) + 1, np.int64)
-        for k, p in zip(back["bucket"], back["back"], strict=True):
-            known[order[cuts[k] : cuts[k + 1]]] = unpack(p)[0]
-        words = np.append(words, start)  # the context of each document's first word
-        before = np.empty(len(ids), np.int64)
-        before[1:] = ids[:-1]
-        first = np.cumsum(size) - size
-        before[first] = len(words) - 1
+        parts = [unpack(p) for p in back.sort_values("bucket")["back"]]
+        known, number = (np.concatenate(z).astype(np.int64) for z in zip(*parts, strict=True))
+        size, away, start, ids = unpack(chunk["blob"].iloc[0])
         here = ids.astype(np.int64)
+        before = np.empty(len(ids), np.int64)
+        before[1:] = here[:-1]
+        before[np.cumsum(size) - size] = start[0]
+        doc = np.repeat(np.arange(len(size)), size)
+        docs = pack(np.array([base]), size, away, np.bincount(doc, known[here] > 0, len(size)).round().astype(np.int64), np.bincount(doc, np.log10(known + 0.5)[here], len(size)))
+        rows = [(-1 - base % buckets, chunk["keys"].iloc[0], docs)]
         pair, place = np.unique(before << 32 | here, return_inverse=True)
         v, w = pair >> 32, pair & 0xFFFFFFFF
-        # Known in every chunk alike: the training count of v; the start, whose count is that of documents, is always dealt.
-        salts = np.where(v == len(words) - 1, buckets, np.maximum(1, -(-known[v] // hot)))
-        salts = np.minimum(salts, buckets).astype(np.uint64)
-        mixed = (words[v] ^ (words[v] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        salt = ((words[w] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % salts
+        salts = np.clip(-(-known[v] // hot), 1, buckets).astype(np.uint64)
+        mixed = (number[v].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        salt = ((number[w].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % salts
         bucket = (((mixed >> np.uint64(32)) + salt) % np.uint64(buckets)).astype(np.int64)
-        rank = np.lexsort((words[w], words[v], bucket))
+        rank = np.lexsort((number[w], number[v], bucket))
         spot = np.empty(len(rank), np.int64)
         spot[rank] = np.arange(len(rank))
-        type_of = spot[place]
-        by = np.argsort(type_of, kind="stable")
-        doc, kind = np.repeat(np.arange(len(size)), size)[by], type_of[by]
+        kind = spot[place]
+        by = np.argsort(kind, kind="stable")
+        doc, kind = doc[by], kind[by]
         once = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1])]))
         times = np.diff(np.append(once, len(doc)))  # a bigram of a document is one entry
         doc, many = doc[once], np.bincount(kind[once], minlength=len(rank))
         ends = np.concatenate([[0], np.cumsum(many)])
         v, w, bucket, salts = v[rank], w[rank], bucket[rank], salts[rank]
         limits = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = []
         for k, (i, j) in enumerate(zip(limits, limits[1:], strict=False)):
             if j > i:
                 new = np.flatnonzero(np.concatenate([[True], v[i + 1 : j] != v[i : j - 1]]))
-                list_w, at_w = np.unique(w[i:j], return_inverse=True)
-                rows.append((k, pack(
-                    words[v[i:j][new]], (salts[i:j][new] > 1), np.diff(np.append(new, j - i)), words[list_w], known[list_w], at_w.astype(np.uint32),
-                    many[i:j], doc[ends[i] : ends[j]], times[ends[i] : ends[j]], np.packbits(away), np.array([base]),
+                own_w, at_w = np.unique(w[i:j], return_inverse=True)
+                rows.append((k, None, pack(
+                    number[v[i:j][new]], salts[i:j][new] > 1, known[v[i:j][new]], np.diff(np.append(new, j - i)), number[own_w], known[own_w], at_w,
+                    many[i:j], doc[ends[i] : ends[j]], times[ends[i] : ends[j]], away, np.array([base]),
                 )))
-        return pd.DataFrame(rows, columns=["bucket", "blob"])
+        return pd.DataFrame(rows, columns=["bucket", "keys", "blob"])
 
-    left = chunks.select("chunk", "held", "words", "blob")
-    right = counted.select("chunk", "bucket", "back")
-    return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(deal, "bucket int, blob binary")
+    left, right = chunks.select("chunk", "mark", "keys", "blob"), counted.select("chunk", "mark", "bucket", "back")
+    return left.groupBy("chunk", "mark").cogroup(right.groupBy("chunk", "mark")).applyInPandas(deal, "bucket int, keys binary, blob binary")
 
 
-def gather(dealt: DataFrame) -> DataFrame:
-    """(bucket, blob, n1..): all tokens of a bucket, and how many bigrams have each small count."""
+def row_numbers(base: int, doc: np.ndarray) -> np.ndarray:
+    """A document's number in the corpus from its chunk and its place there."""
+    return (base >> 32 << 42 | (base & 0xFFFFFFFF) << 22) + doc.astype(np.int64)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v, salted, w, cw, many, rid, times, train = ([] for _ in range(8))
-        for x in rows["blob"]:
-            a, s, runs, list_w, known, at_w, m, doc, t, away, base = unpack(x)
-            v.append(np.repeat(a, runs))
-            salted.append(np.repeat(s, runs))
-            w.append(list_w[at_w])
-            cw.append(known[at_w])
-            many.append(m)
-            rid.append((int(base[0]) >> 32 << 44 | (int(base[0]) & 0xFFFFFFFF) << 22) + doc.astype(np.int64))
-            times.append(t)
-            train.append(np.where(np.unpackbits(away)[doc] == 0, t, 0))
-        v, salted, w, cw, many, rid, times, train = (np.concatenate(z) for z in (v, salted, w, cw, many, rid, times, train))
+
+class Bucket:
+    """All tokens of a bucket, by bigram: v, w, count, and entries (document, times) of each."""
+
+    def __init__(self, blobs):
+        cols = [[] for _ in range(10)]
+        for x in blobs:
+            v, salted, known_v, runs, w, known_w, at_w, many, doc, times, away, base = unpack(x)
+            got = np.repeat(v, runs), np.repeat(salted, runs), np.repeat(known_v, runs), w[at_w], known_w[at_w], many, row_numbers(int(base[0]), doc), times, np.where(away[doc], 0, times)
+            for c, g in zip(cols, got, strict=False):
+                c.append(g)
+        v, salted, known_v, w, known_w, many, doc, times, train = (np.concatenate(c) for c in cols[:9])
         order = np.lexsort((w, v))
         new = np.flatnonzero(np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])]))
         kind = np.empty(len(v), np.int64)
         kind[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(v))))
-        entry = np.repeat(kind, many)
-        by = np.argsort(entry, kind="stable")
-        count = np.bincount(entry, train, len(new)).round().astype(np.int64)
+        self.kind, self.doc, self.times = np.repeat(kind, many), doc, times
+        self.count = np.bincount(self.kind, train, len(new)).round().astype(np.int64)
         first = order[new]
-        row = {"bucket": [rows["bucket"].iloc[0]], "blob": [pack(v[first], salted[first], w[first], cw[first], count, np.bincount(entry, minlength=len(new)), rid[by], times[by])]}
-        return pd.DataFrame(row | {f"n{r}": [int((count == r).sum())] for r in range(1, CUT + 2)})
-
-    sums = ", ".join(f"n{r} long" for r in range(1, CUT + 2))
-    return dealt.groupBy("bucket").applyInPandas(run, f"bucket int, blob binary, {sums}")
+        self.v, self.w, self.known_w = v[first], w[first], known_w[first]
+        start = np.concatenate([[True], self.v[1:] != self.v[:-1]])
+        self.context = np.cumsum(start) - 1
+        self.names, self.salted, self.total = self.v[start], salted[first][start], known_v[first][start]
 
 
-def contexts(v: np.ndarray, count: np.ndarray, p1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For types sorted by v: which context each belongs to, and (c(v), discounted mass, seen unigram mass) of each context."""
-    new = np.concatenate([[True], v[1:] != v[:-1]])
-    of = np.cumsum(new) - 1
-    on = count > 0
-    return of, np.stack([np.bincount(of, x) for x in (count.astype(float), seen(count, d2), np.where(on, p1, 0.0))])
+def gather(dealt: DataFrame, one: Unigrams, hot: int) -> DataFrame:
+    """(bucket, keys, blob, n1..): what a bucket knows of its documents and of the contexts that still matter."""
 
-
-def backoff(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The total that discounted counts are divided by, and alpha; a context without training has alpha 1."""
-    total, mass, lower = sums
-    total = np.where(mass >= total - 1e-9, total + 1, total)
-    alpha = np.where(sums[0] > 0, (1 - mass / total) / np.maximum(1 - lower, 1e-300), 1.0)
-    return total, alpha
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["bucket"].iloc[0] < 0:
+            return rows.assign(**{f"n{r}": 0 for r in range(1, CUT + 2)})
+        b = Bucket(rows["blob"])
+        p1, size = one.p(b.known_w), len(b.names)
+        n = [np.bincount(b.context[b.count == r], minlength=size) for r in range(1, CUT + 1)]
+        big = np.bincount(b.context, np.where(b.count > CUT, b.count, 0), size)
+        lower = np.bincount(b.context, np.where(b.count > 0, p1, 0), size)
+        total = whole(b.total, np.array(n), hot)
+        value = np.log10(np.where(b.count > 0, np.maximum(b.count, 1) / np.maximum(total, 1)[b.context], p1))
+        docs, at = np.unique(b.doc, return_inverse=True)
+        known = np.bincount(at, value[b.kind] * b.times, len(docs))
+        low = [np.bincount(at, np.where(b.count[b.kind] == r, b.times, 0), len(docs)).round().astype(np.int64) for r in range(1, CUT + 1)]
+        off = np.flatnonzero((b.count == 0)[b.kind] & (b.total > 0)[b.context[b.kind]])
+        where = b.context[b.kind[off]]
+        matter = np.flatnonzero((np.bincount(where, minlength=size) > 0) | b.salted)
+        spot = np.zeros(size, np.int64)
+        spot[matter] = np.arange(len(matter))
+        blob = pack(docs, known, *low, spot[where], at[off], b.times[off], b.names[matter], b.salted[matter], b.total[matter], *[x[matter] for x in n], big[matter], lower[matter])
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "keys": [None], "blob": [blob]} | {f"n{r}": [int((b.count == r).sum())] for r in range(1, CUT + 2)})
+
+    return dealt.groupBy("bucket").applyInPandas(run, f"bucket int, keys binary, blob binary, {SUMS}")
+
+
+def whole(total: np.ndarray, n: np.ndarray, hot: int) -> np.ndarray:
+    """What counts are divided by: one more where a context is hot or has no discounted count, so that alpha is not zero."""
+    return total + ((total > hot) | (n.sum(axis=0) == 0))
 
 
 def score(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1,
-    chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, keep_tables: str | None = None,
+    chunk_tokens: int = CHUNK_TOKENS, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, keep_tables: str | None = None,
 ) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     The model learns from rows whose crc32 of the key as text, modulo ``folds``, is not ``held``; a null key is not held
     out. A null or empty text has one token, its end. Texts of any length are taken whole; repeated rows count and are
     scored each. Unknown words are one symbol, in the base as in the model, and both sum to one over the known words and
-    it. Without training rows every score is 0. An empty table gives an empty result. Words are told apart by 64-bit
-    hashes. keep_tables: a folder to which the counts are written, by bucket. To the driver come only a few sums, and
-    the sums of words dealt to several buckets: at most ``HOT_SHARE`` for each bucket.
+    it. Contexts seen over ``hot`` times, and those without a discounted count, have one added to their total, so that
+    something is left for other words. Without training rows every score is 0. An empty table gives an empty result.
+    Words are told apart by 64-bit hashes. keep_tables: a folder to which the bigram counts are written, by bucket. To
+    the driver come only a few sums, and those of words seen over ``hot`` times.
     """
     spark = docs.sparkSession
-    chunks = common.cut(encode(docs, key, text, folds, held, chunk_tokens))
-    n_all = chunks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-n_all // bucket_tokens))
+    chunks = encode(docs, key, text, folds, held, chunk_tokens)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // bucket_bytes))
     counted = common.cut(count_words(chunks, buckets))
     sums = [F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, CUT + 2)]
     total, distinct, *n1 = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0)), *sums).first()
-    table = common.cut(gather(deal_tokens(chunks, counted, buckets, max(1, bucket_tokens // HOT_SHARE))))
-    n2 = np.array(table.agg(*sums).first(), float)
-    one, d2 = Unigrams(total, np.array(n1, float)), discounts(n2)
+    one = Unigrams(total, np.array(n1, float))
+    dealt = deal_tokens(chunks, counted, buckets, hot)
+    if keep_tables:
+        write_tables(dealt, keep_tables)
+    table = common.cut(gather(dealt, one, hot))
+    d2 = discounts(np.array(table.agg(*sums).first(), float))
+    facts = [*[f"n{r}" for r in range(1, CUT + 1)], "big", "lower"]
 
     def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
-                v, dealt, _, cw, count, *_ = unpack(x.as_py())
-                if dealt.any():
-                    v, cw, count = v[dealt], cw[dealt], count[dealt]
-                    of, s = contexts(v, count, one.p(cw), d2)
-                    names = v[np.concatenate([[True], v[1:] != v[:-1]])].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(r) for r in s]], ["v", "total", "mass", "lower"])
+                names, on, _, *rest = unpack(x.as_py())[CUT + 5 :]
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(z[on].astype(t)) for z, t in zip([names, *rest], [np.int64] + [np.float64] * len(rest), strict=True)], ["v", *facts])
 
-    hot = table.select("blob").mapInArrow(salted, "v long, total double, mass double, lower double")
-    hot = hot.groupBy("v").agg(F.sum("total").alias("total"), F.sum("mass").alias("mass"), F.sum("lower").alias("lower")).orderBy("v").toPandas()
-    shared = spark.sparkContext.broadcast((hot["v"].to_numpy(np.int64).view(np.uint64), hot[["total", "mass", "lower"]].to_numpy(float).T))
+    buckets_only = table.where("bucket >= 0").select("blob")
+    kinds = ", ".join(f"{c} double" for c in facts)
+    hot_sums = buckets_only.mapInArrow(salted, f"v long, {kinds}").groupBy("v").agg(*[F.sum(c).alias(c) for c in facts]).orderBy("v").toPandas()
+    shared = spark.sparkContext.broadcast((hot_sums["v"].to_numpy(np.int64), hot_sums[facts].to_numpy(float).T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_v, hot_sums = shared.value
-        by_name = np.argsort(hot_v)
+        hot_v, hot_facts = shared.value
         for b in batches:
             for x in b.column(0):
-                v, dealt, _, cw, count, many, rid, times = unpack(x.as_py())
-                p1 = one.p(cw)
-                of, s = contexts(v, count, p1, d2)
-                names = v[np.concatenate([[True], v[1:] != v[:-1]])]
-                if dealt.any():
-                    mine = np.flatnonzero(np.isin(names, v[dealt]))
-                    s[:, mine] = hot_sums[:, by_name[np.searchsorted(hot_v[by_name], names[mine])]]
-                whole, alpha = backoff(s)
-                p = np.where(count > 0, seen(count, d2) / whole[of], alpha[of] * p1)
-                cols = np.log10(p), np.log10(cw + 0.5), (cw > 0).astype(float)
-                doc, at = np.unique(rid, return_inverse=True)
-                out = [np.bincount(at, np.repeat(c, many) * times, len(doc)) for c in cols]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].round().astype(np.int32)), pa.array(np.bincount(at, times, len(doc)).round().astype(np.int32))],
-                    ["_r", "s", "b", "k", "n"],
-                )
-
-    parts = table.select("blob").mapInArrow(run, "_r long, s double, b double, k int, n int")
-    parts = parts.groupBy("_r").agg(*[F.sum(c).alias(c) for c in "sbkn"])
-    rid = F.shiftright("chunk", 32) * (1 << 44) + F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)) * (1 << 22)
-    names = chunks.select(rid.alias("_c"), F.posexplode(F.arrays_zip("keys", "held"))).select((F.col("_c") + F.col("pos")).alias("_r"), F.col("col.keys").alias(key), F.col("col.held").alias("held_out"))
-    if keep_tables:
-        write_tables(table, keep_tables)
-    base = F.col("b") - F.col("n") * float(np.log10(total + 0.5 * (distinct + 1)))
-    return names.join(parts, "_r").select(
-        key, "held_out", F.col("n").alias("n_tokens"), F.col("k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("s").alias("score")
+                rows, s, *rest = unpack(x.as_py())
+                low, (where, at, times, names, on, total), fact = rest[:CUT], rest[CUT : CUT + 6], np.array(rest[CUT + 6 :], float)
+                for r, k in enumerate(low, 1):
+                    s = s + k * np.log10(d2[r])
+                if on.any():
+                    fact[:, on] = hot_facts[:, np.searchsorted(hot_v, names[on])]
+                n, big, lower = fact[:CUT], fact[CUT], fact[CUT + 1]
+                mass = big + (n * (np.arange(1, CUT + 1) * d2[1:])[:, None]).sum(axis=0)
+                alpha = (1 - mass / np.maximum(whole(total, n, hot), 1)) / np.maximum(1 - lower, 1e-300)
+                s = s + np.bincount(at, np.log10(alpha[where]) * times, len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(s)], ["_r", "s"])
+
+    kind = docs.schema[key].dataType.simpleString()
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, x in zip(b.column(0), b.column(1), strict=True):
+                base, size, away, known, b0 = unpack(x.as_py())
+                cols = row_numbers(int(base[0]), np.arange(len(size))), away, size, known, b0
+                yield pa.RecordBatch.from_arrays([pa.array(pickle.loads(keys.as_py()), key_type), *map(pa.array, cols)], ["k", "r", "held_out", "n_tokens", "n_known", "b"])
+
+    key_type = to_arrow_type(docs.schema[key].dataType)
+    names = table.where("bucket < 0").select("keys", "blob").mapInArrow(named, f"k {kind}, r long, held_out boolean, n_tokens long, n_known long, b double")
+    parts = buckets_only.mapInArrow(run, "_r long, s double").groupBy("_r").agg(F.sum("s").alias("score"))
+    base = F.col("b") - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))
+    return names.join(parts, F.col("r") == F.col("_r")).select(
+        F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
     )
 
 
-def write_tables(table: DataFrame, folder: str) -> None:
-    """The counts as Parquet: (v, w, count, count_w) with hashes as longs, a folder for each bucket of v."""
+def write_tables(dealt: DataFrame, folder: str) -> None:
+    """The counts as Parquet: (v, w, count, count_w) by the words' numbers, a folder for each bucket of v."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                v, _, w, cw, count, *_ = unpack(x.as_py())
-                on = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array([k] * int(on.sum()), pa.int32()), pa.array(v[on].view(np.int64)), pa.array(w[on].view(np.int64)), pa.array(count[on]), pa.array(cw[on])], ["bucket", "v", "w", "count", "count_w"])
+    def rows(rows: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(rows["blob"])
+        on = b.count > 0
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "v": b.v[on].astype(np.int64), "w": b.w[on].astype(np.int64), "count": b.count[on], "count_w": b.known_w[on].astype(np.int64)})
 
-    table.select("bucket", "blob").mapInArrow(rows, "bucket int, v long, w long, count long, count_w long").write.partitionBy("bucket").parquet(folder)
+    dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(rows, "bucket int, v long, w long, count long, count_w long").write.partitionBy("bucket").parquet(folder)

@@ -28,26 +28,30 @@ POINT_BLOCK = 4096
 SMALL_POINT = 8
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Signed 64-bit SimHash of a whole text's word shingles; zero where there is no word."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each word shingle of a whole text, A-Z lower-cased; fewer words than a shingle are one."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not parts:
-        return 0
-    n = max(1, len(parts) - words + 1)
+    n = max(1, len(parts) - words + 1) if parts else 0
     joined = b" ".join(parts)
-    if n == 1:
-        h = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    if n < 2:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)] * n, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Signed word of the bits that are set in over half of h."""
     count = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 15):
-        raw = h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8)
-        count += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * count > n, bitorder="little")
-    return int(bits.view(np.int64)[0])
+    for k in range(0, len(h), 1 << 15):
+        count += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Signed 64-bit SimHash of a whole text's word shingles; zero where there is no word."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -81,25 +85,31 @@ def grid_points(fp: np.ndarray, reach: int = 1) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(index), np.concatenate(points).astype(np.int64)
 
 
-def apart(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
-    """Bits that differ; counted unsigned, because the count of a negative number is that of its magnitude."""
-    return np.bitwise_count((a ^ b).view(np.uint64))
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ, of fingerprints as rows of unsigned words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def forest(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is connected within ``radius`` bits, one less than members; with side, only across sides."""
+    """Index pairs that join what is connected within ``radius`` bits, one less than members; with side, only across sides."""
     label = np.arange(len(fp))
-    for i in range(len(fp) - 1):
-        near = apart(fp[i + 1 :], fp[i]) <= radius
+    step = max(1, min(len(fp), (1 << 18) // len(fp)))
+    for s in range(0, len(fp), step):
+        near = apart(fp[s : s + step, None, :], fp[None, s:, :]) <= radius
         if side is not None:
-            near &= side[i + 1 :] != side[i]
-        others = label[i + 1 :][near]
-        others = others[others != label[i]]
-        if len(others):
-            others = np.unique(np.append(others, label[i]))
-            label[np.isin(label, others)] = others[0]
+            near &= side[s : s + step, None] != side[None, s:]
+        i, j = np.nonzero(near)
+        i, j = i[j > i] + s, j[j > i] + s
+        while len(i):
+            low = np.minimum(label[i], label[j])
+            top = np.maximum(label[i], label[j])
+            if (low == top).all():
+                break
+            np.minimum.at(label, top, low)
+            while (label[label] != label).any():
+                label = label[label]
     child = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[label[child]], fp[child]
+    return label[child], child
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, block: int = POINT_BLOCK) -> DataFrame:
@@ -112,17 +122,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     if not 0 <= radius <= 5:
         raise ValueError("radius from 0 to 5")
-    spark = docs.sparkSession
     prints = common.cut(fingerprints(docs, key, text, words))
-    kind = docs.schema[key].dataType.simpleString()
-    # Keys may be missing for a fingerprint, so that components are over the fingerprints themselves.
     groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep")))
-    component = common.components(_links(groups, radius, block))
-    named = groups.join(component, groups["_fp"] == component["node"], "left").withColumn("_c", F.coalesce("component", "_fp"))
-    least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
-    named = named.select("_fp", "_c").join(least, "_c").select("_fp", "component_id")
-    out = prints.join(named, "_fp")
-    return out.select(F.col("_k").cast(kind).alias(key), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    hexed = F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint")
+    return _named(prints, groups, _links(groups, radius, block), key, [hexed])
 
 
 def _links(groups: DataFrame, radius: int, block: int) -> DataFrame:
@@ -131,19 +134,24 @@ def _links(groups: DataFrame, radius: int, block: int) -> DataFrame:
             for k in range(0, b.num_rows, 4096):
                 fp = b.column(0).slice(k, 4096).to_numpy(zero_copy_only=False)
                 i, point = grid_points(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(point), pa.array(fp[i])], ["p", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(point), pa.array(fp[i])], ["p", "id"])
+
+    return _compare(groups.select("_fp").mapInArrow(spread, "p long, id long"), [], radius, block)
 
-    spark = groups.sparkSession
-    n = common.partitions(spark)
-    points = groups.select("_fp").mapInArrow(spread, "p long, f long").withColumns({"x": F.lit(0), "y": F.lit(0), "mine": F.lit(0)})
+
+def _compare(points: DataFrame, lanes: list[str], radius: int, block: int) -> DataFrame:
+    """(a, b): links of ids that share a point p and whose fingerprints (the lanes, or else the id) are within radius."""
+    n = common.partitions(points.sparkSession)
     # Points with too many fingerprints for one task: pairs of blocks, each with the rows of two.
     hot = common.cut(points.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block))
-    if not hot.isEmpty():
+    if hot.isEmpty():
+        points = points.withColumns({c: F.lit(0) for c in ("x", "y", "mine")})
+    else:
         hot = hot.select("p", F.ceil(F.col("c") / block).cast("int").alias("m"))
-        points = points.drop("x", "y").join(hot, "p", "left").withColumn("m", F.coalesce("m", F.lit(1)))
-        points = points.withColumn("mine", F.pmod(F.xxhash64("f"), "m").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        points = points.select("p", "f", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
-    dealt = points.select("p", "x", "y", "mine", "f").repartition(n, "p", "x", "y").sortWithinPartitions("p", "x", "y")
+        points = points.join(hot, "p", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+        points = points.withColumn("mine", F.pmod(F.xxhash64("id"), "m").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        points = points.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+    dealt = points.select("p", "x", "y", "mine", "id", *lanes).repartition(n, "p", "x", "y").sortWithinPartitions("p", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -151,30 +159,32 @@ def _links(groups: DataFrame, radius: int, block: int) -> DataFrame:
             now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if held is not None:
                 now = [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
-            p, x, y, mine, f = now
+            p, x, y = now[:3]
             new = np.flatnonzero((p[1:] != p[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             cuts = [0, *new.tolist()]
             held = [c[cuts[-1] :] for c in now]
             if len(cuts) > 1:
-                yield from point_links(cuts, x, y, mine, f)
+                yield from point_links(cuts, *now[1:])
         if held is not None:
             yield from point_links([0, len(held[0])], *held[1:])
 
-    def point_links(cuts: list[int], x, y, mine, f) -> Iterator[pa.RecordBatch]:
+    def point_links(cuts: list[int], x, y, mine, ids, *words) -> Iterator[pa.RecordBatch]:
         cuts = np.array(cuts)
         size = np.diff(cuts)
-        out = [(f[:0], f[:0])]
-        small = np.repeat(size <= SMALL_POINT, size)
+        f = np.stack(words or [ids], axis=1).view(np.uint64)
+        out = [(ids[:0], ids[:0])]
         group = np.repeat(np.arange(len(size)), size)
+        small = size[group] <= SMALL_POINT
         for lag in range(1, SMALL_POINT):  # small points all at once
-            i = np.flatnonzero(small[:-lag] & (group[lag:] == group[:-lag])) if len(f) > lag else small[:0]
+            i = np.flatnonzero(small[: len(group) - lag] & (group[lag:] == group[: len(group) - lag])) if len(group) > lag else cuts[:0]
             if not len(i):
                 break
             i = i[apart(f[i], f[i + lag]) <= radius]
-            out.append((f[i], f[i + lag]))
+            out.append((ids[i], ids[i + lag]))
         for g in np.flatnonzero(size > SMALL_POINT).tolist():
             s, e = cuts[g], cuts[g + 1]
-            out.append(forest(f[s:e], radius, mine[s:e] if x[s] != y[s] else None))
+            i, j = forest(f[s:e], radius, mine[s:e] if x[s] != y[s] else None)
+            out.append((ids[s + i], ids[s + j]))
         a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
         if len(a):
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -183,14 +193,86 @@ def _links(groups: DataFrame, radius: int, block: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs whose key is the smallest of its component, with all columns of docs.
+#: Words of a wide fingerprint, and distinct ones to expect on a point.
+LANES, ON_POINT = 4, 32
+
+
+def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
+    """SimHash over the different word shingles, in ``LANES`` words; all zero where there is no word."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return np.zeros(LANES, np.int64)
+    h = np.unique(h)
+    out = []
+    for lane in range(LANES):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * lane) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return np.array(out, np.int64)
+
+
+def similar_texts(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, miss: float = 0.03, block: int = POINT_BLOCK
+) -> DataFrame:
+    """(key, component_id) of every row: texts whose sets of word shingles have a Jaccard similarity of about ``similarity``.
+
+    64 bits and a radius that the exact grid allows tell copies from texts with two or three words changed. Here the
+    fingerprint has ``64 * LANES`` bits, and the radius is what all but a twentieth of pairs at the similarity keep
+    within. Segments have one bit; a grid point is the vector of segments sampled for a table. The number of segments
+    follows the number of different fingerprints, so that points stay small, and the number of tables is such that a
+    pair at the similarity shares no point with probability ``miss`` at most. What shares a point is compared exactly.
+    Nulls, empty texts, repeated rows and empty tables are as in ``near_duplicates``.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    same = 1 - float(np.arccos(cosine)) / np.pi
+    bits = 64 * LANES
+    radius = int(bits * (1 - same) + 1.64 * (bits * same * (1 - same)) ** 0.5)
+    lanes = [f"f{i}" for i in range(LANES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.array([wide_fingerprint(t.as_py(), words) for t in b.column(1)], np.int64).reshape(-1, LANES)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[:, i]) for i in range(LANES)]], ["_k", *lanes])
+
+    kind = docs.schema[key].dataType.simpleString()
+    prints = common.cut(docs.select(key, text).mapInArrow(run, f"_k {kind}, {', '.join(f'{f} long' for f in lanes)}").withColumn("_fp", F.xxhash64(*lanes)))
+    groups = common.cut(prints.groupBy("_fp", *lanes).agg(F.min("_k").alias("_rep")))
+    taken = max(1, int(np.ceil(np.log2(max(groups.count(), 1) / ON_POINT + 1))))
+    tables = int(np.ceil(np.log(miss) / np.log(1 - same**taken)))
+    order = np.random.default_rng(19)
+    chosen = [order.permutation(bits)[:taken] for _ in range(tables)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(taken, dtype=np.int64)
+        for b in batches:
+            for k in range(0, b.num_rows, 4096):
+                ids, *f = (c.to_numpy(zero_copy_only=False) for c in b.slice(k, 4096).columns)
+                on = np.unpackbits(np.stack(f, axis=1).view(np.uint8), axis=1)
+                for t, at in enumerate(chosen):
+                    yield pa.RecordBatch.from_arrays([pa.array((on[:, at] @ weight) + (t << 48)), pa.array(ids), *map(pa.array, f)], ["p", "id", *lanes])
+
+    points = groups.select("_fp", *lanes).mapInArrow(spread, f"p long, id long, {', '.join(f'{f} long' for f in lanes)}")
+    return _named(prints, groups, _compare(points, lanes, radius, block), key, [])
+
+
+def _named(prints: DataFrame, groups: DataFrame, links: DataFrame, key: str, more: list) -> DataFrame:
+    """The prints' rows with the smallest key of their component. Keys may be missing, so components are over the prints."""
+    component = common.components(links)
+    named = groups.join(component, groups["_fp"] == component["node"], "left").withColumn("_c", F.coalesce("component", "_fp"))
+    least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
+    named = named.select("_fp", "_c").join(least, "_c").select("_fp", "component_id")
+    return prints.join(named, "_fp").select(F.col("_k").alias(key), *more, "component_id")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose key is the smallest of its component of similar texts, with all columns of docs.
 
     Of rows repeated with that key, one stays: the least by the text's md5. Rows with a null key stay only where their
     component has no other key, one for each component.
     """
     row = {"_id": F.coalesce(F.col(key).cast("string"), F.lit("null")), "_md5": F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))}
-    found = near_duplicates(docs, key=key, text=text, words=words, radius=radius)
+    found = similar_texts(docs, key=key, text=text, words=words, similarity=similarity)
     kept = found.where(F.col("component_id").eqNullSafe(F.col(key))).select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_id")).distinct()
     twice = docs.select(*[c.alias(n) for n, c in row.items()]).groupBy("_id").agg(F.min("_md5").alias("_md5"))
     kept = kept.join(twice, "_id").select("_id", "_md5")
