@@ -31,7 +31,7 @@ from .packing import pack, unpack
 
 CUT = 5
 #: Tokens of a chunk of documents, and bytes of text to a bucket, whatever the size of the corpus.
-CHUNK_TOKENS, BUCKET_BYTES = 2_200_000, 20_000_000
+CHUNK_TOKENS, BUCKET_BYTES = 1_000_000, 14_000_000
 #: A word seen more often is dealt to several buckets by its successors.
 HOT = 700_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
