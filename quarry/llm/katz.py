@@ -31,7 +31,9 @@ from .packing import pack, unpack
 
 CUT = 5
 #: Tokens of a chunk of documents, and bytes of text to a bucket, whatever the size of the corpus.
-CHUNK_TOKENS, BUCKET_BYTES = 1_000_000, 14_000_000
+CHUNK_TOKENS, BUCKET_BYTES = 900_000, 10_000_000
+#: Tokens that are held as words at a time.
+PIECE_TOKENS = 100_000
 #: A word seen more often is dealt to several buckets by its successors.
 HOT = 700_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -88,15 +90,27 @@ def encode(docs: DataFrame, key: str, text: str, folds: int, held: int, chunk_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        keys, out, flat, lengths = [], [], [], []
+        keys, out, lengths = [], [], []
+        flat: list[bytes] = []
+        pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        held_back = 0
 
-        def chunk() -> pa.RecordBatch:
-            nonlocal number, keys, out, flat, lengths
+        def piece() -> None:
+            nonlocal flat, held_back
             coded = pa.array(flat, pa.binary()).dictionary_encode()
             flat = []
-            hashes = [xxhash.xxh64_intdigest(w, SEED) for w in [*coded.dictionary.to_pylist(), START]]
-            words, place = np.unique(np.array(hashes, np.uint64), return_inverse=True)
-            ids = place[coded.indices.to_numpy(zero_copy_only=False)].astype(np.uint32)
+            hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
+            pieces.append((hashes, coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32)))
+            held_back += len(pieces[-1][1])
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal number, keys, out, lengths, pieces, held_back
+            piece()
+            start = np.array([xxhash.xxh64_intdigest(START, SEED)], np.uint64)
+            words, place = np.unique(np.concatenate([*[h for h, _ in pieces], start]), return_inverse=True)
+            shift = np.cumsum([0, *[len(h) for h, _ in pieces]])
+            ids = np.concatenate([place[s:][i].astype(np.uint32) for s, (_, i) in zip(shift.tolist(), pieces, strict=False)])
+            pieces, held_back = [], 0
             size, away = np.array(lengths), np.array(out)
             counts = np.bincount(ids[~np.repeat(away, size)], minlength=len(words))
             counts[place[-1]] += int((~away).sum())
@@ -114,7 +128,9 @@ def encode(docs: DataFrame, key: str, text: str, folds: int, held: int, chunk_to
                 out.append(h)
                 flat += words
                 lengths.append(len(words))
-                if len(flat) >= chunk_tokens:
+                if len(flat) >= PIECE_TOKENS:
+                    piece()
+                if held_back + len(flat) >= chunk_tokens:
                     yield chunk()
         if keys:
             yield chunk()
@@ -221,24 +237,33 @@ class Bucket:
     """All tokens of a bucket, by bigram: v, w, count, and entries (document, times) of each."""
 
     def __init__(self, blobs):
-        cols = [[] for _ in range(10)]
+        cols: list[list] = [[] for _ in range(9)]
+
+        def take(k: int) -> np.ndarray:
+            got, cols[k] = np.concatenate(cols[k]), []
+            return got
+
         for x in blobs:
             v, salted, known_v, runs, w, known_w, at_w, many, doc, times, away, base = unpack(x)
-            got = np.repeat(v, runs), np.repeat(salted, runs), np.repeat(known_v, runs), w[at_w], known_w[at_w], many, row_numbers(int(base[0]), doc), times, np.where(away[doc], 0, times)
+            got = np.repeat(v, runs), np.repeat(salted, runs), np.repeat(known_v, runs), w[at_w], known_w[at_w], many, row_numbers(int(base[0]), doc), times.astype(np.int32), np.where(away[doc], 0, times).astype(np.int32)
             for c, g in zip(cols, got, strict=False):
                 c.append(g)
-        v, salted, known_v, w, known_w, many, doc, times, train = (np.concatenate(c) for c in cols[:9])
+        v, w = take(0), take(3)
         order = np.lexsort((w, v))
         new = np.flatnonzero(np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])]))
-        kind = np.empty(len(v), np.int64)
-        kind[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(v))))
-        self.kind, self.doc, self.times = np.repeat(kind, many), doc, times
-        self.count = np.bincount(self.kind, train, len(new)).round().astype(np.int64)
+        kind = np.empty(len(v), np.int32)
+        kind[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(v))))
         first = order[new]
-        self.v, self.w, self.known_w = v[first], w[first], known_w[first]
+        del order, new
+        self.v, self.w, self.known_w = v[first], w[first], take(4)[first]
+        del v, w
+        self.kind = np.repeat(kind, take(5))
+        del kind
+        self.count = np.bincount(self.kind, take(8), len(first)).round().astype(np.int64)
+        self.doc, self.times = take(6), take(7)
         start = np.concatenate([[True], self.v[1:] != self.v[:-1]])
         self.context = np.cumsum(start) - 1
-        self.names, self.salted, self.total = self.v[start], salted[first][start], known_v[first][start]
+        self.names, self.salted, self.total = self.v[start], take(1)[first][start], take(2)[first][start]
 
 
 def gather(dealt: DataFrame, one: Unigrams, hot: int) -> DataFrame:
