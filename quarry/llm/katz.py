@@ -24,7 +24,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .packing import pack, unpack
@@ -32,6 +31,8 @@ from .packing import pack, unpack
 CUT = 5
 #: Tokens of a chunk of documents, and bytes of text to a bucket, whatever the size of the corpus.
 CHUNK_TOKENS, BUCKET_BYTES = 900_000, 10_000_000
+#: A document's place in its chunk, which has no more documents than tokens, takes so many bits.
+CHUNK_BITS = 22
 #: Tokens that are held as words at a time.
 PIECE_TOKENS = 100_000
 #: A word seen more often is dealt to several buckets by its successors.
@@ -230,7 +231,7 @@ def deal_tokens(chunks: DataFrame, counted: DataFrame, buckets: int, hot: int) -
 
 def row_numbers(base: int, doc: np.ndarray) -> np.ndarray:
     """A document's number in the corpus from its chunk and its place there."""
-    return (base >> 32 << 42 | (base & 0xFFFFFFFF) << 22) + doc.astype(np.int64)
+    return ((base >> 32 << 20 | (base & 0xFFFFFFFF)) << CHUNK_BITS) + doc.astype(np.int64)
 
 
 class Bucket:
@@ -353,23 +354,35 @@ def score(
                 mass = big + (n * (np.arange(1, CUT + 1) * d2[1:])[:, None]).sum(axis=0)
                 alpha = (1 - mass / np.maximum(whole(total, n, hot), 1)) / np.maximum(1 - lower, 1e-300)
                 s = s + np.bincount(at, np.log10(alpha[where]) * times, len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(s)], ["_r", "s"])
-
-    kind = docs.schema[key].dataType.simpleString()
+                chunk, doc = rows >> CHUNK_BITS, rows & ((1 << CHUNK_BITS) - 1)
+                cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(rows)]
+                parts = [pack(doc[i:j], s[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), pa.nulls(len(parts), pa.binary()), pa.array(parts, pa.binary())], ["chunk", "keys", "blob"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, x in zip(b.column(0), b.column(1), strict=True):
-                base, size, away, known, b0 = unpack(x.as_py())
-                cols = row_numbers(int(base[0]), np.arange(len(size))), away, size, known, b0
-                yield pa.RecordBatch.from_arrays([pa.array(pickle.loads(keys.as_py()), key_type), *map(pa.array, cols)], ["k", "r", "held_out", "n_tokens", "n_known", "b"])
-
-    key_type = to_arrow_type(docs.schema[key].dataType)
-    names = table.where("bucket < 0").select("keys", "blob").mapInArrow(named, f"k {kind}, r long, held_out boolean, n_tokens long, n_known long, b double")
-    parts = buckets_only.mapInArrow(run, "_r long, s double").groupBy("_r").agg(F.sum("s").alias("score"))
-    base = F.col("b") - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))
-    return names.join(parts, F.col("r") == F.col("_r")).select(
-        F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+            chunk = [int(row_numbers(int(unpack(x.as_py())[0][0]), np.zeros(1))[0]) >> CHUNK_BITS for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), *b.columns], ["chunk", "keys", "blob"])
+
+    const = float(np.log10(total + 0.5 * (distinct + 1)))
+
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows["keys"].notna()
+        own = rows[mine].iloc[0]
+        _, size, away, known, b0 = unpack(own["blob"])
+        s = np.zeros(len(size))
+        for x in rows["blob"][~mine]:
+            doc, part = unpack(x)
+            s[doc] += part
+        return pd.DataFrame({
+            key: pd.Series(pickle.loads(own["keys"]), dtype=object), "held_out": away, "n_tokens": size, "n_known": known,
+            "train_tokens": total, "base_score": b0 - size * const, "score": s,
+        })
+
+    kind, one_row = docs.schema[key].dataType.simpleString(), "chunk long, keys binary, blob binary"
+    names = table.where("bucket < 0").select("keys", "blob").mapInArrow(named, one_row)
+    return names.union(buckets_only.mapInArrow(run, one_row)).groupBy("chunk").applyInPandas(
+        together, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
