@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words kept by a partition; beyond it the memory is emptied and filled anew.
 MEMORY_WORDS = 400_000
@@ -239,31 +240,28 @@ def encode_decode(docs: DataFrame, vocabulary_file: str, keys: list[str], text:
     with open(vocabulary_file, encoding="utf-8") as f:
         content = f.read()
     spec = docs.sparkSession.sparkContext.broadcast(content)
-    kept = docs.select(*keys, text).schema
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept if f.name in keys] + [added])
-    return docs.select(*keys, text).mapInArrow(_runner(spec, keys, text, full), schema)
+    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys] + [added])
+    return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(_runner(spec, keys, full), schema)
 
 
-def _runner(spec, keys: list[str], text: str, full: bool) -> Callable:
+def _runner(spec, keys: list[str], full: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(Vocabulary(spec.value))
-            n, ids_hash, text_hash, ids_all, decoded_all = [], [], [], [], []
-            for some_ids, some_decoded in encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-                n += [x.count(b" ") + bool(x) for x in some_ids]
-                ids_hash += [hashlib.sha256(x).hexdigest() for x in some_ids]
-                text_hash += [hashlib.sha256(x).hexdigest() for x in some_decoded]
+            done = 0
+            for ids, decoded in encoder.encode(batch.column(len(keys)).to_pylist()):
+                columns = [batch.column(i).slice(done, len(ids)) for i in range(len(keys))]
+                done += len(ids)
+                n = [x.count(b" ") + bool(x) for x in ids]
+                columns += [pa.array(n, pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (ids, decoded))]
+                names = [*keys, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    ids_all += [[int(i) for i in x.split()] for x in some_ids]
-                    decoded_all += [x.decode() for x in some_decoded]
-            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            columns += [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = [*keys, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                columns += [pa.array(ids_all, pa.list_(pa.int32())), pa.array(decoded_all, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    flat = np.concatenate([np.zeros(0, np.int32), *[np.fromstring(x, np.int32, sep=" ") for x in ids if x]])
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.binary()).cast(pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run

@@ -131,10 +131,10 @@ def _compare(groups: DataFrame, dim: int, threshold: float, chunk: int) -> DataF
     dealt = dealt.select("_l", "_rep", "_m", "_v", ((F.col("_b") == F.col("_t.b1")) & (F.col("_c") == F.col("_t.c1"))).alias("_first"), "_t.*")
     turned = spark.sparkContext.broadcast(turn)
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(tile: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_rep")
         v, rep, many, first = np.stack(rows["_v"].to_numpy()), rows["_rep"].to_numpy(), rows["_m"].to_numpy(), rows["_first"].to_numpy()
-        if first.all():
+        if tile[1:3] == tile[3:]:  # else a chunk may have come out empty
             i, j = tile_links(v, v, turned.value, threshold)
             i, j = i[i < j], j[i < j]
         else:

@@ -3,7 +3,8 @@
 A source's rows are shuffled by a seed and cut into blocks. In a period of W slots a source of integer weight w gets w
 blocks; its j-th block (from 0) is released at slot floor(j*W/w) and is due by slot ceil((j+1)*W/w). Earliest deadline
 first over these unit jobs meets every deadline, because the weights add up to W, and so after any number of slots a
-source is less than one block from its share. When a source runs out, the others go on with their own weights.
+source is less than one block from its share of W. When a source runs out, the others go on with their own weights.
+Target weights are taken in units of one ``resolution``-th (a thousandth); the units stand in the column ``weight``.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ ADDED = ("weight", "block", "slot", "offset")
 
 
 def integer_weights(shares: Mapping[str, float], resolution: int) -> dict[str, int]:
-    """Largest remainders to ``resolution`` units in all, one unit at least for each source."""
-    resolution = max(resolution, 4 * len(shares))
+    """Shares in units of ``1 / resolution``, by largest remainders; one unit at least for each source."""
+    resolution = max(resolution, len(shares))
     total = sum(shares.values())
-    free = resolution - len(shares)
-    exact = {s: free * v / total for s, v in shares.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    short = resolution - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:short]:
-        out[s] += 1
+    exact = {s: resolution * v / total for s, v in shares.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    while (short := resolution - sum(out.values())) != 0:
+        step = 1 if short > 0 else -1
+        able = [s for s in out if step > 0 or out[s] > 1]
+        for s in sorted(able, key=lambda s: (step * (out[s] - exact[s]), s))[: abs(short)]:
+            out[s] += step
     return out
 
 
