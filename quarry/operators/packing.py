@@ -107,22 +107,27 @@ def shards(units: DataFrame, n_shards: int) -> DataFrame:
 
 
 def slices(lines: list[str], most_lines: int = 750, most_chars: int = 35_000, overlap: int = 25) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of overlapping chunks within both caps; a line over the cap is cut into pieces of its own."""
-    out, i, n = [], 0, len(lines)
-    while i < n:
-        if len(lines[i]) > most_chars:
-            out += [(i + 1, i + 1, lines[i][k : k + most_chars]) for k in range(0, len(lines[i]), most_chars)]
-            i += 1
+    """(first line, last line, text) of overlapping chunks within both caps; a line over the cap is cut into pieces of its own.
+
+    A line counts with its line end. A file without lines is one empty chunk.
+    """
+    if not lines:
+        return [(1, 1, "")]
+    out, start, size = [], 0, 0
+    for i, line in enumerate(lines):
+        if len(line) > most_chars:
+            if i > start:
+                out.append((start + 1, i, "\n".join(lines[start:i])))
+            out += [(i + 1, i + 1, line[k : k + most_chars]) for k in range(0, len(line), most_chars)]
+            start, size = i + 1, 0
             continue
-        size, j = 0, i
-        while j < n and j - i < most_lines and len(lines[j]) <= most_chars and size + len(lines[j]) + (j > i) <= most_chars:
-            size += len(lines[j]) + (j > i)
-            j += 1
-        out.append((i + 1, j, "\n".join(lines[i:j])))
-        if j >= n or len(lines[j]) > most_chars:
-            i = j
-        else:
-            i = max(i + 1, j - overlap)
+        if i > start and (i - start >= most_lines or size + len(line) + 1 > most_chars):
+            out.append((start + 1, i, "\n".join(lines[start:i])))
+            start = max(start, i - overlap)
+            size = sum(len(x) + 1 for x in lines[start:i])
+        size += len(line) + 1
+    if start < len(lines):
+        out.append((start + 1, len(lines), "\n".join(lines[start:])))
     return out
 
 
