@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept by a partition; beyond it the memory is emptied and filled anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 #: Characters of text whose new words are merged together.
-GROUP_CHARS = 1 << 23
+GROUP_CHARS = 1 << 22
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
 
@@ -251,7 +251,7 @@ def _runner(spec, keys: list[str], full: bool) -> Callable:
         for batch in batches:
             encoder = encoder or Encoder(Vocabulary(spec.value))
             done = 0
-            for ids, decoded in encoder.encode(batch.column(len(keys)).to_pylist()):
+            for ids, decoded in encoder.encode(t.as_py() for t in batch.column(len(keys))):
                 columns = [batch.column(i).slice(done, len(ids)) for i in range(len(keys))]
                 done += len(ids)
                 n = [x.count(b" ") + bool(x) for x in ids]
@@ -263,5 +263,6 @@ def _runner(spec, keys: list[str], full: bool) -> Callable:
                     columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.binary()).cast(pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+                pa.default_memory_pool().release_unused()
 
     return run
