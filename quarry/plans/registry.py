@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import corpus as C
 from quarry.operators import packing as P
+from quarry.operators.lineage import lineage
 from quarry.plans import relational
+from quarry.sources.diffs import diff_lines
 
 SUFFIX_OF = {"en": "py", "de": "sql", "fr": "go"}
 
@@ -185,6 +187,20 @@ def ref_json(spark, sf_dir):
     return ev.select("event_id", F.from_json("props", "k long").getField("k").alias("k"), (F.length("props") > 7).alias("long_props"))
 
 
+def ref_lineage(spark, sf_dir):
+    """A view is written for every document, over a table named by source and language."""
+    made = F.format_string("create view d.v%s as select t.a, count(*) n from d.%s_%s t join (select a from other) o on o.a = t.a where t.b > 1", F.col("doc_id").cast("string"), "source", "lang")
+    return lineage(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), made.alias("content")))
+
+
+def ref_diff_lines(spark, sf_dir):
+    """A diff is written for every document: its first line goes, another comes."""
+    first = F.get(T.lines(F.col("content")), F.lit(0))
+    text = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1,1 +1,2 @@ head\n-"), first, F.lit("\n+one\n+two\n"))
+    lines = diff_lines(corpus(spark, sf_dir).select(F.col("path").alias("diff_id"), text.alias("diff")))
+    return lines.select("diff_id", "path", "change_type", "hunk", "kind", "source_line", "target_line", F.length("content").alias("n"))
+
+
 def _owned() -> dict[str, Callable]:
     return {k: v for k, v in globals().items() if k.startswith("ref_")}
 
@@ -295,6 +311,9 @@ ORACLE = {
       CASE WHEN length(text) > 400 THEN 103 ELSE length(text) END AS n, greatest(1, least(20, coalesce(try_cast(substr(text, 1, 2) AS INT), 4))) AS clamped FROM conversations""",
     "ref_symbols": CORPUS + """, f AS (SELECT path, regexp_extract(content, '([A-Za-z]+)', 1) AS w, split_part(path, '.', -1) AS x FROM lines WHERE line = 1)
       SELECT path, CASE WHEN x IN ('py', 'go') AND w <> '' THEN w WHEN x = 'sql' THEN 'a.' || w END AS name, CASE WHEN x IN ('py', 'go') AND w <> '' THEN 'method' WHEN x = 'sql' THEN 'table' END AS kind, false AS comment FROM f""",
+    "ref_diff_lines": CORPUS + """, f AS (SELECT path, content FROM lines WHERE line = 1)
+      SELECT path AS diff_id, path, 'modified' AS change_type, 1 AS hunk, 'removed' AS kind, 1 AS source_line, NULL::INT AS target_line, length(content) AS n FROM f
+      UNION ALL SELECT path, path, 'modified', 1, 'added', NULL, 1, 3 FROM f UNION ALL SELECT path, path, 'modified', 1, 'added', NULL, 2, 3 FROM f""",
     "ref_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, length(props) > 7 AS long_props FROM events",
 }
 
