@@ -224,6 +224,12 @@ def similar_texts(
     pair at the similarity shares no point with probability ``miss`` at most. What shares a point is compared exactly.
     Nulls, empty texts, repeated rows and empty tables are as in ``near_duplicates``.
     """
+    prints, groups, links = _similar(docs, key, text, words, similarity, miss, block)
+    return _named(prints, groups, links, key, [])
+
+
+def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float, miss: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prints of all rows, one group for each print with its first row (least key, then md5), and links of groups."""
     cosine = 2 * similarity / (1 + similarity)
     same = 1 - float(np.arccos(cosine)) / np.pi
     bits = 64 * LANES
@@ -233,11 +239,13 @@ def similar_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([wide_fingerprint(t.as_py(), words) for t in b.column(1)], np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[:, i]) for i in range(LANES)]], ["_k", *lanes])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(got[:, i]) for i in range(LANES)]], ["_k", "_md5", *lanes])
 
     kind = docs.schema[key].dataType.simpleString()
-    prints = common.cut(docs.select(key, text).mapInArrow(run, f"_k {kind}, {', '.join(f'{f} long' for f in lanes)}").withColumn("_fp", F.xxhash64(*lanes)))
-    groups = common.cut(prints.groupBy("_fp", *lanes).agg(F.min("_k").alias("_rep")))
+    asked = docs.select(key, text, F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    prints = common.cut(asked.mapInArrow(run, f"_k {kind}, _md5 string, {', '.join(f'{f} long' for f in lanes)}").withColumn("_fp", F.xxhash64(*lanes)))
+    first = F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_md5"))
+    groups = common.cut(prints.groupBy("_fp", *lanes).agg(F.min("_k").alias("_rep"), first.alias("_first")))
     taken = max(1, int(np.ceil(np.log2(max(groups.count(), 1) / ON_POINT + 1))))
     tables = int(np.ceil(np.log(miss) / np.log(1 - same**taken)))
     order = np.random.default_rng(19)
@@ -253,29 +261,33 @@ def similar_texts(
                     yield pa.RecordBatch.from_arrays([pa.array((on[:, at] @ weight) + (t << 48)), pa.array(ids), *map(pa.array, f)], ["p", "id", *lanes])
 
     points = groups.select("_fp", *lanes).mapInArrow(spread, f"p long, id long, {', '.join(f'{f} long' for f in lanes)}")
-    return _named(prints, groups, _compare(points, lanes, radius, block), key, [])
+    return prints, groups, _compare(points, lanes, radius, block)
+
+
+def _grouped(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups with _c, the component of their fingerprint."""
+    component = common.components(links)
+    return groups.join(component, groups["_fp"] == component["node"], "left").withColumn("_c", F.coalesce("component", "_fp"))
 
 
 def _named(prints: DataFrame, groups: DataFrame, links: DataFrame, key: str, more: list) -> DataFrame:
     """The prints' rows with the smallest key of their component. Keys may be missing, so components are over the prints."""
-    component = common.components(links)
-    named = groups.join(component, groups["_fp"] == component["node"], "left").withColumn("_c", F.coalesce("component", "_fp"))
+    named = _grouped(groups, links)
     least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
     named = named.select("_fp", "_c").join(least, "_c").select("_fp", "component_id")
     return prints.join(named, "_fp").select(F.col("_k").alias(key), *more, "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose key is the smallest of its component of similar texts, with all columns of docs.
+    """One row of docs for each component of similar texts, with all columns of docs.
 
-    Of rows repeated with that key, one stays: the least by the text's md5. Rows with a null key stay only where their
-    component has no other key, one for each component.
+    The row with the least key stays, then the least by the text's md5, of rows alike in both any one; a row with a null
+    key stays only where its component has no other key. Rows that share a key but not a component are kept apart.
     """
-    row = {"_id": F.coalesce(F.col(key).cast("string"), F.lit("null")), "_md5": F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))}
-    found = similar_texts(docs, key=key, text=text, words=words, similarity=similarity)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col(key))).select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_id")).distinct()
-    twice = docs.select(*[c.alias(n) for n, c in row.items()]).groupBy("_id").agg(F.min("_md5").alias("_md5"))
-    kept = kept.join(twice, "_id").select("_id", "_md5")
+    _, groups, links = _similar(docs, key, text, words, similarity, 0.03, POINT_BLOCK)
+    kept = _grouped(groups, links).groupBy("_c").agg(F.min("_first").alias("_f")).select(F.col("_f._k").alias("_k"), F.col("_f._md5").alias("_md5"))
+    kept = kept.select(common.group_key("_k").alias("_id"), "_md5")
+    row = {"_id": common.group_key(key), "_md5": F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))}
     out = docs.withColumns(row).join(kept, ["_id", "_md5"], "left_semi")
     first = W.partitionBy("_id", "_md5").orderBy("_id", "_md5")
     return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)

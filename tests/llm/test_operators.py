@@ -134,6 +134,17 @@ def test_similar_texts(spark):
     assert len([x for x in ids if x is not None and 100 <= x < 200]) <= 2 and None in ids and 900 in ids and 901 not in ids
 
 
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    r = random.Random(8)
+    words = lambda n: " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))
+    lone = [words(40) for _ in range(4)]
+    rows = [(None, lone[0], "a", None), (None, lone[1], "a", None), (None, lone[2], "a", None), (None, lone[2], "b", None)]  # different texts without a key
+    rows += [(7, lone[3], "a", None), (7, words(40), "a", None), (5, words(40), "a", None)]  # different texts of one key
+    rows += [(9, rows[6][1], "b", None), (5, rows[4][1], "b", None), (None, rows[5][1], "c", None)]  # and copies of them
+    got = sorted(((x.doc_id, x.text) for x in simhash.keep_one(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, lone[0]), (None, lone[1]), (None, lone[2]), (5, lone[3]), (7, rows[5][1]), (5, rows[6][1])], key=str)
+
+
 def test_embedding_dedup_brute_force(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(40, 8))
