@@ -193,75 +193,133 @@ def _compare(points: DataFrame, lanes: list[str], radius: int, block: int) -> Da
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-#: Words of a wide fingerprint, and distinct ones to expect on a point.
-LANES, ON_POINT = 4, 32
-
-
-def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
-    """SimHash over the different word shingles, in ``LANES`` words; all zero where there is no word."""
-    h = shingle_hashes(text, words)
-    if not len(h):
-        return np.zeros(LANES, np.int64)
-    h = np.unique(h)
-    out = []
-    for lane in range(LANES):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * lane) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return np.array(out, np.int64)
-
-
-def similar_texts(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, miss: float = 0.03, block: int = POINT_BLOCK
-) -> DataFrame:
-    """(key, component_id) of every row: texts whose sets of word shingles have a Jaccard similarity of about ``similarity``.
-
-    64 bits and a radius that the exact grid allows tell copies from texts with two or three words changed. Here the
-    fingerprint has ``64 * LANES`` bits, and the radius is what all but a twentieth of pairs at the similarity keep
-    within. Segments have one bit; a grid point is the vector of segments sampled for a table. The number of segments
-    follows the number of different fingerprints, so that points stay small, and the number of tables is such that a
-    pair at the similarity shares no point with probability ``miss`` at most. What shares a point is compared exactly.
+#: Tables of the near-copy search and minima in the key of each.
+TABLES, MINIMA = 30, 5
+MULTIPLIERS = np.random.default_rng(19).integers(0, 1 << 63, TABLES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the different word shingles of a whole text."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def set_id(h: np.ndarray) -> int:
+    """Signed word for a set of shingles; zero for the empty one."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)) if len(h) else 0
+
+
+def table_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each table: the least of the set under each of the table's orders. Two sets share it at similarity ** MINIMA."""
+    low = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 1024):
+        np.minimum(low, (MULTIPLIERS[:, None] * h[None, k : k + 1024]).min(axis=1), out=low)
+    rows = np.hstack([low.reshape(TABLES, MINIMA), np.arange(TABLES, dtype=np.uint64)[:, None]])
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
+
+
+def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id) of every row: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
+
+    64 bits and a radius that the exact grid allows tell copies from texts with two or three words changed, so this
+    search compares the sets of shingles (as 64-bit hashes). Sets are candidates where they share the key of one of
+    ``TABLES`` tables; a pair at similarity s shares none with probability (1 - s ** MINIMA) ** TABLES, 7e-6 at 0.8,
+    whatever the number of rows. Every link is decided on the two whole sets. Equal sets are one set throughout. The
+    sets of a key are first compared with three of them, and then each with all that are still in other components.
     Nulls, empty texts, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    prints, groups, links = _similar(docs, key, text, words, similarity, miss, block)
+    prints, groups, links = _similar(docs, key, text, words, similarity)
     return _named(prints, groups, links, key, [])
 
 
-def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float, miss: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Prints of all rows, one group for each print with its first row (least key, then md5), and links of groups."""
-    cosine = 2 * similarity / (1 + similarity)
-    same = 1 - float(np.arccos(cosine)) / np.pi
-    bits = 64 * LANES
-    radius = int(bits * (1 - same) + 1.64 * (bits * same * (1 - same)) ** 0.5)
-    lanes = [f"f{i}" for i in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([wide_fingerprint(t.as_py(), words) for t in b.column(1)], np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(got[:, i]) for i in range(LANES)]], ["_k", "_md5", *lanes])
+            sets = (shingle_set(t.as_py(), words) for t in b.column(1))
+            got = [(set_id(h), len(h), table_keys(h).tobytes() if len(h) else b"") for h in sets]
+            fp, size, keys = (list(c) for c in zip(*got, strict=True)) if got else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.binary())], ["_k", "_md5", "_fp", "_size", "_keys"])
 
     kind = docs.schema[key].dataType.simpleString()
-    asked = docs.select(key, text, F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    prints = common.cut(asked.mapInArrow(run, f"_k {kind}, _md5 string, {', '.join(f'{f} long' for f in lanes)}").withColumn("_fp", F.xxhash64(*lanes)))
+    md5 = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    prints = common.cut(docs.select(key, text, md5).mapInArrow(run, f"_k {kind}, _md5 string, _fp long, _size int, _keys binary"))
     first = F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_md5"))
-    groups = common.cut(prints.groupBy("_fp", *lanes).agg(F.min("_k").alias("_rep"), first.alias("_first")))
-    taken = max(1, int(np.ceil(np.log2(max(groups.count(), 1) / ON_POINT + 1))))
-    tables = int(np.ceil(np.log(miss) / np.log(1 - same**taken)))
-    order = np.random.default_rng(19)
-    chosen = [order.permutation(bits)[:taken] for _ in range(tables)]
+    groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep"), first.alias("_first"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(taken, dtype=np.int64)
         for b in batches:
             for k in range(0, b.num_rows, 4096):
-                ids, *f = (c.to_numpy(zero_copy_only=False) for c in b.slice(k, 4096).columns)
-                on = np.unpackbits(np.stack(f, axis=1).view(np.uint8), axis=1)
-                for t, at in enumerate(chosen):
-                    yield pa.RecordBatch.from_arrays([pa.array((on[:, at] @ weight) + (t << 48)), pa.array(ids), *map(pa.array, f)], ["p", "id", *lanes])
+                fp, size, keys = b.slice(k, 4096).columns
+                points = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+                many = [np.repeat(c.to_numpy(zero_copy_only=False), TABLES) for c in (fp, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (points, *many)], ["p", "id", "size"])
+
+    points = groups.where("_size > 0").select("_fp", "_size", "_keys").mapInArrow(spread, "p long, id long, size int")
+    node = F.struct("id", "size")
+    centres = points.groupBy("p").agg(F.count(F.lit(1)).alias("c"), *[F.min_by(node, F.xxhash64("id", F.lit(i))).alias(f"n{i}") for i in range(3)]).where("c > 1")
+    points = common.cut(points.join(centres.drop("c"), "p"))
+    star = points.select(F.col("id"), "size", F.explode(F.array("n0", "n1", "n2")).alias("n"))
+    fits = F.least("size", "n.size") >= similarity * F.greatest("size", "n.size") - 1e-9
+    star = star.where((F.col("id") != F.col("n.id")) & fits).select(F.greatest("id", "n.id").alias("a"), F.least("id", "n.id").alias("b"))
+    star = common.cut(star.distinct())
+    found = _alike(star, docs, groups, key, text, words, similarity)
+    named = _grouped(groups, found).select(F.col("_fp").alias("id"), "_c")
+    points = points.select("p", "id", "size").join(named, "id")
+    mixed = points.groupBy("p").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("p")
+    across = points.join(mixed, "p").select("p", "_c", "id", "size").repartition(common.partitions(docs.sparkSession), "p").sortWithinPartitions("p", "_c")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held is not None:
+                now = [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
+            cuts = [0, *(np.flatnonzero(now[0][1:] != now[0][:-1]) + 1).tolist()]
+            held = [c[cuts[-1] :] for c in now]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                yield from crossing(*[c[s:e] for c in now[1:]])
+        if held is not None:
+            yield from crossing(*held[1:])
+
+    def crossing(c: np.ndarray, ids: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        later = np.searchsorted(c, c, side="right")
+        for i in np.flatnonzero(later < len(c)).tolist():  # pairs of unlike components only
+            z, other = size[later[i] :], ids[later[i] :]
+            other = other[np.minimum(z, size[i]) >= similarity * np.maximum(z, size[i]) - 1e-9]
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, ids[i])), pa.array(np.minimum(other, ids[i]))], ["a", "b"])
+
+    rest = common.cut(across.mapInArrow(pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
+    return prints, groups, found.union(_alike(rest, docs, groups, key, text, words, similarity))
 
-    points = groups.select("_fp", *lanes).mapInArrow(spread, f"p long, id long, {', '.join(f'{f} long' for f in lanes)}")
-    return prints, groups, _compare(points, lanes, radius, block)
+
+def _alike(pairs: DataFrame, docs: DataFrame, groups: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of groups whose whole sets of shingles reach the similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["_fp", "_set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.concatenate([x, y])
+                both.sort()
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(same >= similarity * (len(both) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    if pairs.isEmpty():
+        return pairs
+    asked = pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct()
+    asked = groups.join(asked, "_fp").select("_fp", common.group_key("_first._k").alias("_id"), F.col("_first._md5").alias("_md5"))
+    rows = docs.select(common.group_key(key).alias("_id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_md5"), F.col(text).alias("_t"))
+    whole = common.cut(rows.join(asked, ["_id", "_md5"]).select("_fp", "_t").dropDuplicates(["_fp"]).mapInArrow(sets, "_fp long, _set binary"))
+    met = pairs.join(whole.toDF("b", "y"), "b").join(whole.toDF("a", "x"), "a")
+    return common.cut(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
 def _grouped(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -284,7 +342,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
     The row with the least key stays, then the least by the text's md5, of rows alike in both any one; a row with a null
     key stays only where its component has no other key. Rows that share a key but not a component are kept apart.
     """
-    _, groups, links = _similar(docs, key, text, words, similarity, 0.03, POINT_BLOCK)
+    _, groups, links = _similar(docs, key, text, words, similarity)
     kept = _grouped(groups, links).groupBy("_c").agg(F.min("_first").alias("_f")).select(F.col("_f._k").alias("_k"), F.col("_f._md5").alias("_md5"))
     kept = kept.select(common.group_key("_k").alias("_id"), "_md5")
     row = {"_id": common.group_key(key), "_md5": F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))}

@@ -134,6 +134,23 @@ def test_similar_texts(spark):
     assert len([x for x in ids if x is not None and 100 <= x < 200]) <= 2 and None in ids and 900 in ids and 901 not in ids
 
 
+def test_similar_texts_are_decided_by_whole_sets(spark):
+    r = random.Random(2)
+    rows = []
+    for _ in range(60):  # chains of texts with more and more words changed, on both sides of the similarity
+        w = [f"w{r.randint(0, 9999)}" for _ in range(r.randint(20, 120))]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(w), "a", None))
+            for _ in range(max(1, len(w) // 60)):
+                w[r.randrange(len(w))] = f"w{r.randint(0, 9999)}"
+    sets = [{tuple(d[1].split()[i : i + 5]) for i in range(len(d[1].split()) - 4)} for d in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if i // 6 == j // 6 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = list(enumerate(components(len(rows), links)))
+    assert 60 < len({c for _, c in want}) < len(rows)
+    assert sorted(map(tuple, simhash.similar_texts(table(spark, rows)).collect())) == want
+    assert simhash.similar_texts(table(spark, [])).count() == 0
+
+
 def test_keep_one_keeps_a_row_of_each_component(spark):
     r = random.Random(8)
     words = lambda n: " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))
