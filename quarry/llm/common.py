@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def through_parquet(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again, in the order of its files."""
+    """df written as Parquet to the shared folder and read again; the order of rows may be another."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

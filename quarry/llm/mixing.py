@@ -123,8 +123,12 @@ def mix(
     )
 
 
-def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
-    """The rows of docs with their own columns, sorted into the mixed order: written, the order of files and rows is it."""
+def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, *, place: tuple[str, str] | None = None, **options) -> DataFrame:
+    """The rows of docs with their own columns, sorted into the mixed order.
+
+    A reader need not keep the order of files; ``place`` names two columns to add for slot and offset, which hold it.
+    """
     away = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ADDED}
     out = mix(docs.withColumnsRenamed(away), weights, **options).orderBy("slot", "offset")
-    return out.drop(*ADDED).withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
+    placed = [F.col(c).alias(n) for c, n in zip(("slot", "offset"), place or (), strict=False)]
+    return out.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns], *placed)
