@@ -214,7 +214,7 @@ def table_keys(h: np.ndarray) -> np.ndarray:
     for k in range(0, len(h), 1024):
         np.minimum(low, (MULTIPLIERS[:, None] * h[None, k : k + 1024]).min(axis=1), out=low)
     rows = np.hstack([low.reshape(TABLES, MINIMA), np.arange(TABLES, dtype=np.uint64)[:, None]])
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh32_intdigest(r.tobytes()) for r in rows], np.uint32)
 
 
 def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -224,7 +224,7 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     search compares the sets of shingles (as 64-bit hashes). Sets are candidates where they share the key of one of
     ``TABLES`` tables; a pair at similarity s shares none with probability (1 - s ** MINIMA) ** TABLES, 7e-6 at 0.8,
     whatever the number of rows. Every link is decided on the two whole sets. Equal sets are one set throughout. The
-    sets of a key are first compared with three of them, and then each with all that are still in other components.
+    sets of a key are first compared with two of them, and then each with all that are still in other components.
     Nulls, empty texts, repeated rows and empty tables are as in ``near_duplicates``.
     """
     prints, groups, links = _similar(docs, key, text, words, similarity)
@@ -247,66 +247,92 @@ def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float
     first = F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_md5"))
     groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep"), first.alias("_first"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")))
 
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+
+    def centres(p: np.ndarray, ids: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
+        many = np.diff(cuts)
+        out = []
+        for order in (ids, (ids.view(np.uint64) * MULTIPLIERS[0]).view(np.int64)):  # two members of each point to compare with
+            at = np.lexsort((order, p))[cuts[:-1]].repeat(many)
+            out.append(np.where(fits(size, size[at]), ids[at], ids))
+        more = many.repeat(many) > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (p, ids, size, *out)], ["p", "id", "size", "n0", "n1"])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 fp, size, keys = b.slice(k, 4096).columns
-                points = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+                points = np.frombuffer(b"".join(keys.to_pylist()), np.uint32).astype(np.int64) | np.tile(np.arange(TABLES, dtype=np.int64) << 32, len(fp))
                 many = [np.repeat(c.to_numpy(zero_copy_only=False), TABLES) for c in (fp, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (points, *many)], ["p", "id", "size"])
 
     points = groups.where("_size > 0").select("_fp", "_size", "_keys").mapInArrow(spread, "p long, id long, size int")
-    node = F.struct("id", "size")
-    centres = points.groupBy("p").agg(F.count(F.lit(1)).alias("c"), *[F.min_by(node, F.xxhash64("id", F.lit(i))).alias(f"n{i}") for i in range(3)]).where("c > 1")
-    points = common.cut(points.join(centres.drop("c"), "p"))
-    star = points.select(F.col("id"), "size", F.explode(F.array("n0", "n1", "n2")).alias("n"))
-    fits = F.least("size", "n.size") >= similarity * F.greatest("size", "n.size") - 1e-9
-    star = star.where((F.col("id") != F.col("n.id")) & fits).select(F.greatest("id", "n.id").alias("a"), F.least("id", "n.id").alias("b"))
+    n = common.partitions(docs.sparkSession)
+    dealt = points.repartition(n, "p").sortWithinPartitions("p")
+    points = common.cut(dealt.mapInArrow(lambda batches: (r for g in _by_point(batches) for r in centres(*g)), "p long, id long, size int, n0 long, n1 long"))
+    star = points.select("id", F.explode(F.array("n0", "n1")).alias("n")).where("id <> n").select(F.greatest("id", "n").alias("a"), F.least("id", "n").alias("b"))
     star = common.cut(star.distinct())
-    found = _alike(star, docs, groups, key, text, words, similarity)
+    texts = _texts(points, docs, groups, key, text)
+    found = _alike(star, texts, words, similarity)
     named = _grouped(groups, found).select(F.col("_fp").alias("id"), "_c")
     points = points.select("p", "id", "size").join(named, "id")
     mixed = points.groupBy("p").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("p")
-    across = points.join(mixed, "p").select("p", "_c", "id", "size").repartition(common.partitions(docs.sparkSession), "p").sortWithinPartitions("p", "_c")
+    across = points.join(mixed, "p").select("p", "_c", "id", "size").repartition(n, "p").sortWithinPartitions("p", "_c")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                now = [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
-            cuts = [0, *(np.flatnonzero(now[0][1:] != now[0][:-1]) + 1).tolist()]
-            held = [c[cuts[-1] :] for c in now]
+        for p, *columns in _by_point(batches):
+            cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True]).tolist()
             for s, e in zip(cuts, cuts[1:], strict=False):
-                yield from crossing(*[c[s:e] for c in now[1:]])
-        if held is not None:
-            yield from crossing(*held[1:])
+                yield from crossing(*[c[s:e] for c in columns])
 
     def crossing(c: np.ndarray, ids: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         later = np.searchsorted(c, c, side="right")
         for i in np.flatnonzero(later < len(c)).tolist():  # pairs of unlike components only
             z, other = size[later[i] :], ids[later[i] :]
-            other = other[np.minimum(z, size[i]) >= similarity * np.maximum(z, size[i]) - 1e-9]
+            other = other[fits(z, size[i])]
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, ids[i])), pa.array(np.minimum(other, ids[i]))], ["a", "b"])
 
     rest = common.cut(across.mapInArrow(pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
-    return prints, groups, found.union(_alike(rest, docs, groups, key, text, words, similarity))
+    return prints, groups, found.union(_alike(rest, texts, words, similarity))
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, groups: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of groups whose whole sets of shingles reach the similarity."""
+def _by_point(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, cut so that its equal values stay together."""
+    held = None
+    for b in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            now = [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
+        at = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        held = [c[at:] for c in now]
+        if at:
+            yield [c[:at] for c in now]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _texts(points: DataFrame, docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """(_fp, _t) of the groups on points: a text of each, that of its first row."""
+    asked = groups.join(points.select(F.col("id").alias("_fp")).distinct(), "_fp")
+    asked = common.cut(asked.select("_fp", common.group_key("_first._k").alias("_id"), F.col("_first._md5").alias("_md5")))
+    rows = docs.select(common.group_key(key).alias("_id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_md5"), F.col(text).alias("_t"))
+    return common.cut(rows.join(common.small(asked, asked.count()), ["_id", "_md5"]).dropDuplicates(["_id", "_md5"]).select("_fp", "_t"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["_fp", "_set"])
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of groups whose whole sets of shingles reach the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
+            for i, s, t in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if i != last:  # pairs come sorted by a where the join sorts them
+                    last, x = i, shingle_set(s.as_py(), words)
+                both = np.concatenate([x, shingle_set(t.as_py(), words)])
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(same >= similarity * (len(both) - same) - 1e-9)
@@ -314,11 +340,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, groups: DataFrame, key: str, text:
 
     if pairs.isEmpty():
         return pairs
-    asked = pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct()
-    asked = groups.join(asked, "_fp").select("_fp", common.group_key("_first._k").alias("_id"), F.col("_first._md5").alias("_md5"))
-    rows = docs.select(common.group_key(key).alias("_id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_md5"), F.col(text).alias("_t"))
-    whole = common.cut(rows.join(asked, ["_id", "_md5"]).select("_fp", "_t").dropDuplicates(["_fp"]).mapInArrow(sets, "_fp long, _set binary"))
-    met = pairs.join(whole.toDF("b", "y"), "b").join(whole.toDF("a", "x"), "a")
+    met = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a")
     return common.cut(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
