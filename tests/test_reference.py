@@ -66,6 +66,12 @@ def test_transition(spark, base, head, want):
     assert df.select(C.transition(F.col("b"), F.col("h"))).first()[0] == want
 
 
+def test_closure_goes_on_to_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"v{i}", f"v{i + 1}", "confirmed") for i in range(24)], "src string, dst string, confidence string")
+    got = C.closure(edges, spark.createDataFrame([("v0",)], "node string"), P.cut).collect()
+    assert sorted(r.depth for r in got) == list(range(1, 25))
+
+
 def test_closure_prefers_confirmed_paths_and_ends_cycles(spark):
     edges = spark.createDataFrame([("a", "b", "possible"), ("a", "c", "confirmed"), ("c", "b", "confirmed"), ("b", "a", "confirmed"), ("b", "d", "confirmed")], "src string, dst string, confidence string")
     roots = spark.createDataFrame([("a",)], "node string")
