@@ -21,6 +21,8 @@ from .vectors import moments, usable
 CHUNK = 2048
 #: Dimensions added up before the bound is tested again.
 STEP = 16
+#: Lengths of vectors that a table may hold; each has its own comparison.
+MAX_LENGTHS = 1000
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,8 @@ def near_duplicates(
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, like rows with a null
     key or label and vectors of unequal length. Vectors equal in every component are one vector with a count, and so a
     copy made a million times costs no more than one. Repeated rows count as vectors of their own that link. A row that
-    links with nothing has component_id = key; kept is false for a null key. An empty table gives an empty result.
+    links with nothing has component_id = key; kept is false for a null key. An empty table gives an empty result. More
+    than ``MAX_LENGTHS`` different lengths raise ValueError.
     """
     x = vectors.select(F.col(key).alias("_k"), F.col(label).cast("string").alias("_l"), F.col(vector).cast("array<double>").alias("_v"))
     x = x.withColumn("_ok", usable("_v") & F.col("_k").isNotNull() & F.col("_l").isNotNull())
@@ -86,7 +89,10 @@ def near_duplicates(
     groups = x.where("_ok").groupBy("_l", "_d", "_v").agg(F.min("_k").alias("_rep"), F.count(F.lit(1)).alias("_m"))
     groups = common.cut(groups)
     found = None
-    for (dim,) in [tuple(r) for r in groups.select("_d").distinct().limit(1000).collect()]:
+    dims = [r["_d"] for r in groups.select("_d").distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(dims) > MAX_LENGTHS:
+        raise ValueError(f"more than {MAX_LENGTHS} lengths of vectors")
+    for dim in dims:
         part = _compare(groups.where(F.col("_d") == dim), dim, threshold, chunk)
         found = part if found is None else found.union(part)
     rows = x.select("_k", "_l", "_v", "_ok")

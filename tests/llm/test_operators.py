@@ -186,6 +186,12 @@ def test_embedding_dedup_brute_force(spark):
     assert embdedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embedding_dedup_refuses_too_many_lengths(spark):
+    rows = spark.range(1, 1002).selectExpr("id as vec_id", "array_repeat(1d, int(id)) as embedding", "0 as label")
+    with pytest.raises(ValueError, match="lengths"):
+        embdedup.near_duplicates(rows)
+
+
 def test_nearest_neighbours(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(500, 16)).round(3)
