@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import ann, bpe, embdedup, html, mixing, sharding, simhash, toxicity, urlfilter
+from quarry.llm import ann, bpe, embdedup, mixing, sharding, simhash, toxicity, urlfilter
 from quarry.llm.queries import vocabulary_file
 
 DOCS = "doc_id long, text string, source string, slot string"
@@ -267,17 +267,6 @@ def test_exceptions_spare_a_match():
     assert x.evidence("the trash can is full")[0] == 0 and x.evidence("this trash talks")[0] == 2 and x.evidence("trаsh")[0] == 2 and x.evidence("trashy")[0] == 0
 
 
-def test_html(spark):
-    page = lambda i, body: (i, "http://h.example/x", f"<html><head><title>t</title></head><body><div class='bar'>Same words everywhere</div><article><h1>Head {i}</h1>{body}</article><footer>foot</footer></body></html>")
-    rows = [page(i, f"<p>Text&nbsp;{i} &amp; more<b> bold</b></p><script>no()</script>") for i in range(20)]
-    rows += [(50, None, None), (51, "no-host", ""), (52, "http://h.example/", "<p>One<p>Two  \n three<div class='comments'>reply</div><nav>menu</nav>"), (53, "http://o.net/", "plain < text"), rows[0]]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    by = {g.page_id: g.text for g in got}
-    assert len(got) == len(rows) and all(g.n_chars == len(g.text) for g in got)
-    assert by[3] == "Head 3\nText 3 & more bold" and by[50] == by[51] == "" and by[52] == "One\nTwo three" and by[53] == "plain < text"
-    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
