@@ -1,15 +1,14 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-A rotation is learned on a bounded sample so that the signs of the turned, centred vectors quantise them well. The signs
-are cut into substrings, and each block of rows has an index for each substring. Of two codes within a radius, some
-substring is within radius // substrings; probing the values that near in every index finds each code within the radius.
-What is found is ranked by the original vectors. Queries meet the rows block by block.
+Rotations are learned on a bounded sample so that the signs of the turned, centred vectors quantise them well; each gives
+one substring of a code. Every block of rows has an index for each substring: its values and the rows of each. Of two
+codes within a radius, some substring is within radius // substrings; probing the values that near in every index finds
+each code within the radius. What is found is ranked by the original vectors. Queries meet the rows block by block; a
+query that finds too few rows within the radius, over all blocks, meets all rows without the index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,125 +18,148 @@ from pyspark.sql import functions as F
 from . import common
 from .vectors import usable
 
-#: Rows on which rotation and radius are fitted, the first by a hash of the key.
+#: Rows on which rotations and radius are fitted, the first by a hash of the key.
 SAMPLE = 10_000
-ROWS_BLOCK, QUERIES_BLOCK, SUBSTRING = 8192, 4096, 8
-
-
-def fit(x: np.ndarray, k: int, recall: float, seed: int = 7, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, rotation (dim x bits) and the radius that holds ``recall`` of the k nearest within the sample."""
-    mean = x.mean(axis=0)
-    y = x - mean
-    bits = min(64, x.shape[1])
-    basis = np.linalg.eigh(y.T @ y)[1][:, ::-1][:, :bits]
-    p = y @ basis
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-    for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.where(p @ r >= 0, 1.0, -1.0).T @ p)
-        r = (u @ w).T
-    turn = basis @ r
-    code = codes(x, mean, turn)
-    asked = np.arange(0, len(x), max(1, len(x) // 500))
-    near = x[asked] @ x.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return mean, turn, bits
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    apart = np.bitwise_count(code[asked][:, None] ^ code[best]).ravel()
-    return mean, turn, int(np.quantile(apart, recall))
-
-
-def codes(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    on = (x - mean) @ turn >= 0
-    out = np.zeros((len(x), 8), np.uint8)
-    packed = np.packbits(on, axis=1, bitorder="little")
-    out[:, : packed.shape[1]] = packed
-    return out.view(np.uint64).ravel()
+#: Rows and queries that meet in a task. Substrings of a code, each of at most 64 bits.
+ROWS_BLOCK, QUERIES_BLOCK, SUBSTRINGS = 16_384, 4096, 4
+
+
+class Model:
+    """Mean, rotations and radius, for vectors of one length. The radius holds ``recall`` of the sample's pairs that are as
+    near, among the sample's rows, as the k nearest are among ``n`` rows."""
+
+    def __init__(self, x: np.ndarray, n: int, k: int, recall: float, seed: int = 7, rounds: int = 25):
+        self.dim = x.shape[1]
+        self.mean = x.mean(axis=0)
+        y = x - self.mean
+        self.bits = min(64, self.dim)
+        basis = np.linalg.eigh(y.T @ y)[1][:, ::-1][:, : self.bits]
+        p = y @ basis
+        self.turns = []
+        for s in range(SUBSTRINGS):
+            r = np.linalg.qr(np.random.default_rng([seed, s]).normal(size=(self.bits, self.bits)))[0]
+            for _ in range(rounds):
+                u, _, w = np.linalg.svd(np.where(p @ r >= 0, 1.0, -1.0).T @ p)
+                r = (u @ w).T
+            self.turns.append(basis @ r)
+        self.radius = SUBSTRINGS * self.bits
+        k = min(-(-k * len(x) // max(n, 1)), len(x) - 1)
+        if k < 1:
+            return
+        code = self.codes(x)
+        asked = np.arange(0, len(x), max(1, len(x) // 1000))
+        near = x[asked] @ x.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        apart = np.bitwise_count(code[asked][:, None] ^ code[best]).sum(axis=2)
+        self.radius = int(np.quantile(apart, recall, method="higher"))
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """A row of words for each vector, one a substring."""
+        out = np.zeros((len(x), SUBSTRINGS), np.uint64)
+        for s, turn in enumerate(self.turns):
+            packed = np.packbits((x - self.mean) @ turn >= 0, axis=1, bitorder="little")
+            out[:, s] = np.pad(packed, ((0, 0), (0, 8 - packed.shape[1]))).view(np.uint64).ravel()
+        return out
 
 
 class Index:
-    """The multi-index of a block: for every substring, the rows by its value."""
-
-    def __init__(self, code: np.ndarray, bits: int):
-        self.code, self.bits, self.parts = code, bits, -(-bits // SUBSTRING)
-        self.sub = np.ascontiguousarray(code.view(np.uint8).reshape(-1, 8)[:, : self.parts].T)
-        self.order = [np.argsort(s, kind="stable").astype(np.int32) for s in self.sub]
-        self.start = [np.searchsorted(s[o], np.arange(257)) for s, o in zip(self.sub, self.order, strict=True)]
-
-    def within(self, q: np.uint64, radius: int) -> np.ndarray:
-        """All rows whose code is within radius of q."""
+    """The multi-index of a block: for every substring its values, and by value the rows that have it."""
+
+    def __init__(self, code: np.ndarray):
+        self.code = code
+        self.values, self.rows, self.starts = [], [], []
+        for s in range(code.shape[1]):
+            value, place = np.unique(code[:, s], return_inverse=True)
+            self.values.append(value)
+            self.rows.append(np.argsort(place, kind="stable"))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(value)))]))
+
+    def within(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+        """All rows whose code is within radius of q, and how many were probed for it."""
         found = np.zeros(len(self.code), bool)
-        value = np.arange(256, dtype=np.uint8)
-        for j, v in enumerate(np.array([q]).view(np.uint8)[: self.parts]):
-            probe = np.flatnonzero(np.bitwise_count(value ^ v) <= radius // self.parts)
-            lengths = self.start[j][probe + 1] - self.start[j][probe]
-            probe = probe[lengths > 0]
-            lengths = lengths[lengths > 0]
+        for s, word in enumerate(q):
+            probe = np.flatnonzero(np.bitwise_count(self.values[s] ^ word) <= radius // len(q))
+            start = self.starts[s][probe]
+            many = self.starts[s][probe + 1] - start
             if len(probe):
-                skip = np.repeat(self.start[j][probe] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-                found[self.order[j][np.arange(lengths.sum()) + skip]] = True
+                step = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+                found[self.rows[s][np.arange(many.sum()) + step]] = True
         at = np.flatnonzero(found)
-        return at[np.bitwise_count(self.code[at] ^ q) <= radius]
+        return at[np.bitwise_count(self.code[at] ^ q).sum(axis=1) <= radius], len(at)
+
+
+def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores in order, ties to the smaller id."""
+    at = np.arange(len(ids))
+    if len(ids) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(ids) - k)[len(ids) - k])
+    return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.97,
+    vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.95,
     sample: int = SAMPLE, rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest found by inner product, ties to the smaller key.
 
-    A query's own key is no candidate. Vectors null, empty, zero or with a null or non-finite component, rows with a
-    null key, and vectors not as long as the most common length take no part. A block gives the k best within the
-    radius; where it has fewer than k there, the radius grows until it has k or all. Every row is indexed; only rotation
-    and radius come from ``sample`` rows. Repeated rows are candidates each. No queries or no rows: an empty result.
+    A query's own key is no candidate. Vectors null, empty, zero or with a null or non-finite component and rows with a
+    null key take no part; vectors of unlike lengths never meet. Every row is indexed; only rotations and radius come
+    from ``sample`` rows of the most common length. Vectors of other lengths, and queries with fewer than k rows within
+    the radius in all blocks together, are searched without the index, so that the result does not depend on blocks.
+    Repeated rows are candidates each; repeated queries are one query, and rows of one key with unlike vectors are
+    queries of their own under that key. No queries or no rows: an empty result. Other columns are left out.
     """
     spark = vectors.sparkSession
-    shape = "query_id long, rank int, vec_id long, score double"
+
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
         return df.where(usable("_v") & F.col("_k").isNotNull())
 
-    rows, asked = clean(vectors), clean(queries)
-    sizes = rows.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    rows, asked = clean(vectors), clean(queries).withColumn("_q", F.xxhash64("_k", "_v")).dropDuplicates(["_k", "_q"])
+    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()}
     if not sizes:
-        return spark.createDataFrame([], shape)
-    dim, n = sizes[0]
-    rows, asked = rows.where(F.size("_v") == dim), asked.where(F.size("_v") == dim)
-    some = rows.orderBy(F.xxhash64("_k", F.lit(11)), "_k").limit(sample).select("_v").toPandas()
-    mean, turn, radius = fit(np.stack(some["_v"].to_numpy()), k, recall)
-    model = spark.sparkContext.broadcast((mean, turn, radius))
-    n_asked = asked.count()
-    parts, asks = max(1, -(-n // rows_block)), max(1, -(-n_asked // queries_block))
-    left = rows.select(F.pmod(F.xxhash64("_k"), F.lit(parts)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("_q"), F.lit(False).alias("_asks"), "_k", "_v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"), F.pmod(F.xxhash64("_k"), F.lit(asks)).cast("int").alias("_q"), F.lit(True).alias("_asks"), "_k", "_v")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    (dim, n), = sizes.items()
+    some = rows.where(F.size("_v") == dim).orderBy(F.xxhash64("_k", F.lit(11)), "_k").limit(sample).select("_v").toPandas()
+    model = spark.sparkContext.broadcast(Model(np.stack(some["_v"].to_numpy()), n, k, recall))
+    found = common.cut(_meet(rows, asked, k, model, True, rows_block, queries_block))
+    counts = found.groupBy("query_id", "_q").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
+    few = common.cut(asked.join(counts, (F.col("_k") == F.col("query_id")) & (asked["_q"] == counts["_q"]), "left_anti"))
+    if not few.isEmpty():
+        again = _meet(rows, few, k, model, False, rows_block, queries_block)
+        found = found.join(counts, ["query_id", "_q"], "left_semi").union(again)
+    order = W.partitionBy("query_id", "_q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(rows: DataFrame, asked: DataFrame, k: int, model, indexed: bool, rows_block: int, queries_block: int) -> DataFrame:
+    """(query_id, _q, vec_id, score): the k best of each block for each query, by the index (within the radius) or without."""
+    rows = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m"))  # a row repeated any number of times is one with a count
+    n, m = rows.count(), asked.count()
+    parts, asks = max(1, -(-n // rows_block)), max(1, -(-m // queries_block))
+    deal = lambda *c, into: F.pmod(F.xxhash64(*c), F.lit(into)).cast("int")
+    each = lambda into: F.explode(F.sequence(F.lit(0), F.lit(into - 1)))
+    left = rows.select(deal("_k", "_v", into=parts).alias("_p"), each(asks).alias("_a"), "_m", F.lit(False).alias("_asks"), "_k", "_v")
+    right = asked.select(each(parts).alias("_p"), deal("_q", into=asks).alias("_a"), F.col("_q").alias("_m"), F.lit(True).alias("_asks"), "_k", "_v")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, turn, radius = model.value
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        asks = pdf["_asks"].to_numpy()
-        if asks.all() or not asks.any():
-            return empty
-        x, ids = np.stack(pdf["_v"].to_numpy()[~asks]), pdf["_k"].to_numpy()[~asks]
-        q, q_ids = np.stack(pdf["_v"].to_numpy()[asks]), pdf["_k"].to_numpy()[asks]
-        index, q_codes = Index(codes(x, mean, turn), turn.shape[1]), codes(q, mean, turn)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for v, i, c in zip(q, q_ids, q_codes, strict=True):
-            r = radius
-            at = index.within(c, r)
-            while len(at) < min(k + 1, len(x)) and r < turn.shape[1]:
-                r += index.parts
-                at = index.within(c, r)
-            at = at[ids[at] != i]
-            score = x[at] @ v
-            if len(at) > k:
-                best = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
-                at, score = at[best], score[best]
-            first = np.lexsort((ids[at], -score))[:k]
-            out.append((np.full(len(first), i), ids[at][first], score[first]))
-        a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    found = left.union(right).groupBy("_p", "_q").applyInPandas(block, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out: list[pd.DataFrame] = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "_q": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for size, part in pdf.groupby(pdf["_v"].map(len)):
+            asks = part["_asks"].to_numpy()
+            if asks.all() or not asks.any():
+                continue
+            x, ids, many = np.stack(part["_v"].to_numpy()[~asks]), part["_k"].to_numpy()[~asks], np.minimum(part["_m"].to_numpy()[~asks], k)
+            q, q_ids, q_of = np.stack(part["_v"].to_numpy()[asks]), part["_k"].to_numpy()[asks], part["_m"].to_numpy()[asks]
+            index = Index(model.value.codes(x)) if indexed and size == model.value.dim else None
+            codes = model.value.codes(q) if index else q
+            for v, i, h, c in zip(q, q_ids, q_of, codes, strict=True):
+                at = index.within(c, model.value.radius)[0] if index else np.arange(len(x))
+                at = at[ids[at] != i]
+                at = np.repeat(at, many[at])
+                score = (x[at] * v).sum(axis=1)
+                first = best(ids[at], score, k)
+                out.append(pd.DataFrame({"query_id": i, "_q": h, "vec_id": ids[at][first], "score": score[first]}))
+        return pd.concat(out, ignore_index=True)
+
+    return left.union(right).groupBy("_p", "_a").applyInPandas(block, "query_id long, _q long, vec_id long, score double")

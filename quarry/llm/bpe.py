@@ -54,7 +54,7 @@ class Vocabulary:
         self.words = regex.compile(split)
         self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
         self.alphabet = byte_alphabet()
-        self.keys, self.rank_of, self.made = self._pairs(model["merges"])
+        self.keys, self.rank_of, self.made, self.pairs = self._pairs(model["merges"])
         if any(c + e not in self.ids for c in self.alphabet for e in ("", self.end)):
             raise ValueError("a byte has no symbol")
         self.inner = np.array([self.ids[c] for c in self.alphabet], np.int32)
@@ -64,8 +64,8 @@ class Vocabulary:
         a, b = np.divmod(np.arange(base * base), base)
         self.base_rank[:base, :base] = self.ranks(a, b).reshape(base, base)
 
-    def _pairs(self, merges: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted pair keys, the rank of each, and the symbol that each rank makes."""
+    def _pairs(self, merges: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """Sorted pair keys, the rank of each, and the symbol that each rank makes and the pair that it joins."""
         pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in merges]
         ids = np.array([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs])
         born = np.full(max(self.ids.values()) + 1, -1)
@@ -74,7 +74,7 @@ class Vocabulary:
             raise ValueError("a merge comes before a symbol that it needs, or two merges make one symbol")
         keys = ids[:, 0] << 32 | ids[:, 1]
         order = np.argsort(keys)
-        return keys[order], order.astype(np.int32), ids[:, 2].astype(np.int32)
+        return keys[order], order.astype(np.int32), ids[:, 2].astype(np.int32), [(a, b) for a, b in ids[:, :2].tolist()]
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it has none or a symbol is an end."""
@@ -112,12 +112,11 @@ def merge(symbol: np.ndarray, v: Vocabulary) -> np.ndarray:
                 heapq.heappush(active, k)
 
     note(np.arange(n - 1, dtype=np.int32), v.base_rank[symbol[:-1], symbol[1:]])
-    first = {int(r): int(k) for k, r in zip(v.keys, v.rank_of, strict=True)} if n else {}
     while active:
         rank = heapq.heappop(active)
         parts = where.pop(rank)
         i = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-        a, b = first[rank] >> 32, first[rank] & 0xFFFFFFFF
+        a, b = v.pairs[rank]
         i = i[symbol[i] == a]
         j = after[i]
         ok = symbol[j] == b
@@ -234,9 +233,11 @@ def encode_decode(docs: DataFrame, vocabulary_file: str, keys: list[str], text:
 
     full: also ids (array of int) and decoded. Null texts are empty; an empty text has no tokens and the hash of the
     empty string; a text of any length is encoded whole. Repeated rows give repeated rows, an empty table an empty
-    result. Columns beside the keys are left out; keys named like a result column are not allowed. The vocabulary is
+    result. Columns beside the keys are left out; keys named like a result column raise ValueError. The vocabulary is
     read on the driver once and goes to the executors with the task; its size does not depend on the data.
     """
+    if clash := set(keys) & {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}:
+        raise ValueError(f"keys are named like result columns: {sorted(clash)}")
     with open(vocabulary_file, encoding="utf-8") as f:
         content = f.read()
     spec = docs.sparkSession.sparkContext.broadcast(content)

@@ -81,7 +81,7 @@ def near_duplicates(
     key or label and vectors of unequal length. Vectors equal in every component are one vector with a count, and so a
     copy made a million times costs no more than one. Repeated rows count as vectors of their own that link. A row that
     links with nothing has component_id = key; kept is false for a null key. An empty table gives an empty result. More
-    than ``MAX_LENGTHS`` different lengths raise ValueError.
+    than ``MAX_LENGTHS`` different lengths raise ValueError. Ties do not arise; other columns are left out.
     """
     x = vectors.select(F.col(key).alias("_k"), F.col(label).cast("string").alias("_l"), F.col(vector).cast("array<double>").alias("_v"))
     x = x.withColumn("_ok", usable("_v") & F.col("_k").isNotNull() & F.col("_l").isNotNull())
@@ -95,17 +95,18 @@ def near_duplicates(
     for dim in dims:
         part = _compare(groups.where(F.col("_d") == dim), dim, threshold, chunk)
         found = part if found is None else found.union(part)
-    rows = x.select("_k", "_l", "_v", "_ok")
+    alone = lambda rows: rows.select("_k", F.lit(0).cast("long").alias("n_links"), F.col("_k").alias("component_id"))
     if found is None:
-        marked = rows.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("_k")})
+        marked = alone(x)
     else:
         found = common.cut(found)
         near = found.groupBy("a").agg(F.sum("n").alias("_n"))
         component = common.components(found.where("b is not null").select("a", "b"))
         named = groups.join(near, F.col("_rep") == near["a"], "left").join(component, F.col("_rep") == component["node"], "left")
-        named = named.select(F.col("_l").alias("_gl"), F.col("_v").alias("_gv"), (F.col("_m") - 1 + F.coalesce("_n", F.lit(0))).alias("_links"), F.coalesce("component", "_rep").alias("_c"))
-        marked = rows.join(named, F.col("_ok") & (F.col("_l") == F.col("_gl")) & (F.col("_v") == F.col("_gv")), "left")
-        marked = marked.withColumns({"n_links": F.coalesce("_links", F.lit(0)).cast("long"), "component_id": F.coalesce("_c", "_k")})
+        named = named.select("_l", "_v", "_m", (F.col("_m") - 1 + F.coalesce("_n", F.lit(0))).alias("n_links"), F.coalesce("component", "_rep").alias("component_id"))
+        total = groups.agg(F.sum("_m").alias("n")).first()["n"]
+        linked = common.join_hot(x.where("_ok").select("_k", "_l", "_v"), named, ["_l", "_v"], "_m", total)
+        marked = linked.select("_k", "n_links", "component_id").union(alone(x.where("not _ok")))
     return marked.select(F.col("_k").alias(key), "n_links", "component_id", F.coalesce(F.col("_k") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -4,7 +4,7 @@ A source's rows are shuffled by a seed and cut into blocks. In a period of W slo
 blocks; its j-th block (from 0) is released at slot floor(j*W/w) and is due by slot ceil((j+1)*W/w). Earliest deadline
 first over these unit jobs meets every deadline, because the weights add up to W, and so after any number of slots a
 source is less than one block from its share of W. When a source runs out, the others go on with their own weights.
-Target weights are taken in units of one ``resolution``-th (a thousandth); the units stand in the column ``weight``.
+Target weights are taken in units of one ``resolution``-th; the units stand in the column ``weight``.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_ROWS, RESOLUTION, MAX_SOURCES = 32, 1000, 2000
+BLOCK_ROWS, RESOLUTION, MAX_SOURCES = 32, 2000, 2000
 ADDED = ("weight", "block", "slot", "offset")
 
 
 def integer_weights(shares: Mapping[str, float], resolution: int) -> dict[str, int]:
     """Shares in units of ``1 / resolution``, by largest remainders; one unit at least for each source."""
-    resolution = max(resolution, len(shares))
+    if len(shares) > resolution:
+        raise ValueError(f"{len(shares)} sources, more than {resolution} units of weight")
     total = sum(shares.values())
     exact = {s: resolution * v / total for s, v in shares.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
@@ -88,14 +89,16 @@ def mix(
     weights: target share by source name; without it, shares follow the square root of the number of rows. Sources
     without a weight get the smallest weight given. Every row is kept once. A null source is a source of its own, called
     null in ``weights`` by None. Repeated rows are rows like others; rows alike in key and text may swap places, which
-    can't be seen. An empty table gives an empty result. Only the count of rows by source comes to the driver, for at
-    most ``max_sources`` sources; more raise ValueError. Added columns replace columns of the same name.
+    can't be seen. Texts may have any length. An empty table gives an empty result. Only the count of rows by source comes
+    to the driver, for at most ``max_sources`` sources; more raise ValueError. Added columns replace columns of the same
+    name; others may have any names.
     """
     spark = docs.sparkSession
-    rows = docs.drop(*ADDED).withColumns({
-        "_g": common.group_key(source),
-        "_k": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))),
-        "_t": F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))),
+    rows, own = common.shielded(docs)
+    rows = rows.withColumns({
+        "_g": common.group_key(own[source]),
+        "_k": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(own[key]).cast("string"), F.lit("null")))),
+        "_t": F.md5(F.coalesce(F.col(own[text]).cast("string"), F.lit(""))),
     })
     counts = {r["_g"]: r["n"] for r in rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()}
     if len(counts) > max_sources:
@@ -112,23 +115,24 @@ def mix(
     phases, slots = plan(blocks, units)
     p = spark.createDataFrame([(*x, units[x[0]]) for x in phases], "_g string, _p int, _first long, _last long, _a long, _w long, _base long, weight long")
     s = spark.createDataFrame(slots, "_p int, _g string, _j long, _slot long")
-    ranked = common.rank_in_groups(rows, "_g", "_k", [key, "_t"], "_r")
+    ranked = common.rank_in_groups(rows, "_g", "_k", [own[key], "_t"], "_r", max(counts.values(), default=0))
     ranked = ranked.withColumns({"block": F.floor((F.col("_r") - 1) / block_rows).cast("long"), "offset": ((F.col("_r") - 1) % block_rows).cast("int")})
     placed = ranked.join(common.small(p, len(phases)).withColumnRenamed("_g", "_pg"), (F.col("_g") == F.col("_pg")) & F.col("block").between(F.col("_first"), F.col("_last"))).drop("_pg")
     placed = placed.withColumn("_j", (F.col("block") - F.col("_first")) % F.col("_a"))
     placed = placed.join(common.small(s, len(slots)), ["_p", "_g", "_j"])
     turn = F.floor((F.col("block") - F.col("_first")) / F.col("_a")).cast("long")
     return placed.withColumn("slot", F.col("_base") + turn * F.col("_w") + F.col("_slot")).select(
-        *[c for c in docs.columns if c not in ADDED], *ADDED
+        *[F.col(n).alias(c) for c, n in own.items() if c not in ADDED], *ADDED
     )
 
 
 def in_order(docs: DataFrame, weights: Mapping[str, float] | None = None, *, place: tuple[str, str] | None = None, **options) -> DataFrame:
     """The rows of docs with their own columns, sorted into the mixed order.
 
-    A reader need not keep the order of files; ``place`` names two columns to add for slot and offset, which hold it.
+    A reader need not keep the order of files; ``place`` names two columns to add for slot and offset, which hold it and
+    replace columns of these names.
     """
     away = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ADDED}
     out = mix(docs.withColumnsRenamed(away), weights, **options).orderBy("slot", "offset")
     placed = [F.col(c).alias(n) for c, n in zip(("slot", "offset"), place or (), strict=False)]
-    return out.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns], *placed)
+    return out.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns if c not in (place or ())], *placed)

@@ -118,12 +118,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Documents link when their fingerprints differ in at most ``radius`` bits (up to 5); component_id is the smallest
     key reachable. Texts that are null or hold no word have fingerprint zero and link like others. Rows with a null key
     keep a row and take part through their fingerprint, but are no component_id unless nothing else is reachable, and
-    then it is null. Repeated rows are repeated in the result. An empty table gives an empty result.
+    then it is null. Repeated rows are repeated in the result. An empty table gives an empty result. Texts of any length
+    are taken whole. Other columns are left out and may have any names; a key named like a result column raises ValueError.
     """
+    if key in ("fingerprint", "component_id"):
+        raise ValueError(f"the key is named like a result column: {key}")
     if not 0 <= radius <= 5:
         raise ValueError("radius from 0 to 5")
     prints = common.cut(fingerprints(docs, key, text, words))
-    groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep")))
+    groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep"), F.count(F.lit(1)).alias("_m")))
     hexed = F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint")
     return _named(prints, groups, _links(groups, radius, block), key, [hexed])
 
@@ -245,7 +248,7 @@ def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float
     md5 = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     prints = common.cut(docs.select(key, text, md5).mapInArrow(run, f"_k {kind}, _md5 string, _fp long, _size int, _keys binary"))
     first = F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_md5"))
-    groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep"), first.alias("_first"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")))
+    groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep"), F.count(F.lit(1)).alias("_m"), first.alias("_first"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")))
 
     def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
@@ -353,21 +356,27 @@ def _grouped(groups: DataFrame, links: DataFrame) -> DataFrame:
 def _named(prints: DataFrame, groups: DataFrame, links: DataFrame, key: str, more: list) -> DataFrame:
     """The prints' rows with the smallest key of their component. Keys may be missing, so components are over the prints."""
     named = _grouped(groups, links)
-    least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
-    named = named.select("_fp", "_c").join(least, "_c").select("_fp", "component_id")
-    return prints.join(named, "_fp").select(F.col("_k").alias(key), *more, "component_id")
+    least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    total = groups.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("g")).first()
+    least = common.join_hot(named.select("_fp", "_m", "_c"), least, ["_c"], "_n", total["g"])
+    return common.join_hot(prints, least.select("_fp", "_m", "component_id"), ["_fp"], "_m", total["n"]).select(F.col("_k").alias(key), *more, "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component of similar texts, with all columns of docs.
 
     The row with the least key stays, then the least by the text's md5, of rows alike in both any one; a row with a null
-    key stays only where its component has no other key. Rows that share a key but not a component are kept apart.
+    key stays only where its component has no other key. Rows that share a key but not a component are kept apart. Texts
+    without a word are one component; texts of any length are taken whole. Columns may have any names. An empty table
+    gives an empty result.
     """
+    columns = docs.columns
+    docs, own = common.shielded(docs)
+    key, text = own[key], own[text]
     _, groups, links = _similar(docs, key, text, words, similarity)
     kept = _grouped(groups, links).groupBy("_c").agg(F.min("_first").alias("_f")).select(F.col("_f._k").alias("_k"), F.col("_f._md5").alias("_md5"))
     kept = kept.select(common.group_key("_k").alias("_id"), "_md5")
     row = {"_id": common.group_key(key), "_md5": F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))}
     out = docs.withColumns(row).join(kept, ["_id", "_md5"], "left_semi")
     first = W.partitionBy("_id", "_md5").orderBy("_id", "_md5")
-    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[F.col(own[c]).alias(c) for c in columns])

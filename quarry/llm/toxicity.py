@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows on which lexicon and logistic are fitted, at most (in expectation, by a hash of the key).
 SAMPLE = 8000
-MAX_WORDS, MIN_SUPPORT = 500, 6
+#: Different neighbourhoods in texts of label 1 that a word of the lexicon needs.
+MIN_SUPPORT = 6
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "class clown", "sore loser", "idiot proof", "pond scum", "soap scum")
 
 _LOOK = {
@@ -86,17 +87,18 @@ def features(total: float, length: int) -> tuple[float, float]:
     return float(total > 0), float(np.log1p(total) / (1 + 0.1 * np.log1p(length / 1000)))
 
 
-def learn_words(train: DataFrame, text: str, label: str, max_words: int, min_support: int) -> dict[str, float]:
+def learn_words(train: DataFrame, text: str, label: str, min_support: int) -> dict[str, float]:
     """Words with their log odds, from the different neighbourhoods that each has in texts of label 1 and of label 0.
 
-    A neighbourhood is the word before and the word after, so that copies of one text count once.
+    A neighbourhood is the word before and the word after, so that copies of one text count once. All words with support
+    come to the driver; they come from the bounded sample alone.
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != "")
     rows = train.select(F.col(label).alias("y"), words.alias("w"))
     near = F.transform(
         F.col("w"), lambda x, i: F.struct(x.alias("x"), F.xxhash64(F.get(F.col("w"), i - 1), F.get(F.col("w"), i + 1)).alias("c"))
     )
-    each = rows.select("y", F.explode(F.array_distinct(near)).alias("e")).select("y", "e.x", "e.c")
+    each = rows.select("y", F.explode(near).alias("e")).select("y", "e.x", "e.c")
     once = each.groupBy("x", "c").agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
     by = once.groupBy("x").agg(F.sum(F.when(F.col("lo") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("lo") == 0, 1).otherwise(0)).alias("good"))
     by = by.where((F.col("bad") >= min_support) & (F.length("x") >= 3))
@@ -104,7 +106,7 @@ def learn_words(train: DataFrame, text: str, label: str, max_words: int, min_sup
     n = F.col("bad") + F.col("good")
     share = (F.col("bad") + 2) / (n + 4)
     by = by.withColumn("low", share - 2 * F.sqrt(share * (1 - share) / (n + 4))).where("low > 0.5")
-    top = by.withColumn("weight", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5))).orderBy(F.desc("bad"), "x").limit(max_words).collect()
+    top = by.withColumn("weight", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5))).collect()
     return {r["x"]: r["weight"] for r in top}
 
 
@@ -120,56 +122,68 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return b
 
 
-def score(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, threshold: float = 0.3,
-    sample: int = SAMPLE, exceptions: Sequence[str] = EXCEPTIONS, max_words: int = MAX_WORDS, min_support: int = MIN_SUPPORT, keep: Sequence[str] = (),
-) -> DataFrame:
-    """(key, held_out, score, predicted) for every row of docs, and the columns named in keep.
+#: Columns that scoring adds beside those of the input; no input has them.
+HIT, WEIGHT, SCORE, HELD = "__tox_hit", "__tox_weight", "__tox_score", "__tox_held"
 
-    Rows whose crc32 of the key as text, modulo ``folds``, is ``held`` are never learned from. Whole texts are scored;
-    null and empty texts match nothing. With no labelled text, or with one label alone, the score is the share of label
-    1, 0 without labels. Labels that are null and rows with a null key are not learned from; a null key is not held out.
-    Repeated rows are scored each. An empty table gives an empty result. To the driver come ``max_words`` words and two
-    numbers for each of about ``sample`` rows.
-    """
+
+def scored(
+    docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str = "toxic", folds: int = 4, held: int = 2,
+    sample: int = SAMPLE, exceptions: Sequence[str] = EXCEPTIONS, min_support: int = MIN_SUPPORT,
+) -> DataFrame:
+    """docs with SCORE and HELD beside its own columns."""
     spark = docs.sparkSession
-    fold_of = lambda: F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_y")).where(fold_of() != held)
+    fold_of = lambda k: F.pmod(F.crc32(F.col(k).cast("string").cast("binary")), F.lit(folds))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(fold_of("_k") != held)
     n = known.count()
     if n > sample:
-        known = known.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    train = docs.select(key, text).where(fold_of() != held).join(known, key).select(F.coalesce(text, F.lit("")).alias("_t"), "_y")
-    weights = learn_words(train, "_t", "_y", max_words, min_support) if n else {}
+        known = known.where(F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    train = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).where(fold_of("_k") != held).join(known, "_k").select("_t", "_y")
+    weights = learn_words(train, "_t", "_y", min_support) if n else {}
     model = spark.sparkContext.broadcast((weights, tuple(exceptions)))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(*model.value)
-        for b in batches:
-            got = [features(*lexicon.evidence(t.as_py())) for t in b.column(0)]
-            hit, weight = (np.array(z, float) for z in zip(*got, strict=True)) if got else (np.zeros(0), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(weight), *b.columns[1:]], ["_hit", "_weight", *b.schema.names[1:]])
+    def measure(at: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lexicon = Lexicon(*model.value)
+            for b in batches:
+                got = [features(*lexicon.evidence(t.as_py())) for t in b.column(at)]
+                hit, weight = (np.array(z, float) for z in zip(*got, strict=True)) if got else (np.zeros(0), np.zeros(0))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit), pa.array(weight)], [*b.schema.names, HIT, WEIGHT])
+
+        return run
+
+    def measured(df: DataFrame, at: str) -> DataFrame:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return df.mapInArrow(measure(df.columns.index(at)), f"{kinds}, {HIT} double, {WEIGHT} double")
 
-    seen = train.mapInArrow(measure, "_hit double, _weight double, _y int").toPandas() if n else None
+    seen = measured(train, "_t").select("_y", HIT, WEIGHT).toPandas() if n else None
     if seen is None or not len(seen):
         beta = np.array([-np.inf, 0, 0])
     elif seen["_y"].nunique() < 2:
         beta = np.array([np.inf if seen["_y"].iloc[0] else -np.inf, 0, 0])
     else:
-        beta = fit_logistic(seen[["_hit", "_weight"]].to_numpy(), seen["_y"].to_numpy(float))
-    carried = [key, *[c for c in keep if c not in (key, text)]]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    again = [F.col(text).alias("_whole")] if text in keep else []
-    inner = kinds + (", _whole string" if again else "")
-    got = docs.select(text, *carried, *again).mapInArrow(measure, f"_hit double, _weight double, {inner}")
-    z = F.lit(float(beta[0])) + F.col("_hit") * float(beta[1]) + F.col("_weight") * float(beta[2])
-    got = got.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    got = got.withColumn("held_out", F.coalesce(fold_of() == held, F.lit(False)))
-    if again:
-        got = got.withColumn(text, F.col("_whole"))
-    return got.select(key, "held_out", "score", "predicted", *[c for c in keep if c != key])
-
-
-def clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with the columns of docs."""
-    out = score(docs, labels, key=key, text=text, keep=docs.columns, **options)
-    return out.where("predicted = 0").select(*docs.columns)
+        beta = fit_logistic(seen[[HIT, WEIGHT]].to_numpy(), seen["_y"].to_numpy(float))
+    z = F.lit(float(beta[0])) + F.col(HIT) * float(beta[1]) + F.col(WEIGHT) * float(beta[2])
+    got = measured(docs, text).withColumns({SCORE: 1 / (1 + F.exp(-z)), HELD: F.coalesce(fold_of(key) == held, F.lit(False))})
+    return got.drop(HIT, WEIGHT)
+
+
+def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: Sequence[str] = (), **options) -> DataFrame:
+    """(key, held_out, score, predicted) for every row of docs, and the columns named in keep.
+
+    Rows whose crc32 of the key as text, modulo ``folds``, is ``held`` are never learned from. Whole texts are scored;
+    null and empty texts match nothing. With no labelled text, or with one label alone, the score is the share of label
+    1, 0 without labels. Labels that are null and rows with a null key are not learned from; a null key is not held out.
+    Repeated rows are scored each. An empty table gives an empty result. Other columns of docs may have any names; a
+    column in keep, or a key, of the name of a result column raises ValueError. To the driver come the words with support
+    in about ``sample`` labelled rows, and two numbers for each of these.
+    """
+    if clash := {"held_out", "score", "predicted"} & {key, *keep}:
+        raise ValueError(f"result columns are named like columns to keep: {sorted(clash)}")
+    docs = docs.select(key, *([text] if text != key else []), *[c for c in keep if c not in (key, text)])
+    out = scored(docs, labels, key=key, text=text, **options)
+    return out.select(key, F.col(HELD).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"), *[c for c in keep if c != key])
+
+
+def clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of docs with a score below ``threshold``, with the columns of docs, whatever their names."""
+    return scored(docs, labels, key=key, text=text, **options).where(F.col(SCORE) < threshold).select(*docs.columns)

@@ -73,18 +73,19 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     longest of them (host, then path, by characters in all) decides, and of rules alike in host and path the action that
     sorts last, so that block beats allow. rule is null and the verdict ``default`` where none fits: a URL that is not
     listed, a null URL, one without ``://``. Every row is kept, repeated rows too. An empty list gives every page the
-    default. Columns of these names in the input are replaced. Only the number of rules and the lengths of their paths
-    (at most ``MAX_LENGTHS``) come to the driver.
+    default. Columns of these names in the input are replaced; others may have any names. Only the number of rules and the
+    different lengths of their paths come to the driver; these are no more than characters in the longest path.
     """
     added = ("host", "path", "rule", "verdict")
     listed = rules.select(F.concat(lower_ascii(F.col("host")), F.col("path")).alias("_key"), "action").where("_key is not null")
     listed = listed.groupBy("_key").agg(F.max("action").alias("_action"))
     facts = rules.where("host is not null and path is not null").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
-    host, path = host_and_path(F.col(url))
-    judged = pages.drop(*added).withColumn("host", host).withColumn("path", path)
+    host, path = host_and_path(F.col(f"__own_{pages.columns.index(url)}"))
+    shielded, own = common.shielded(pages)
+    judged = shielded.withColumn("host", host).withColumn("path", path)
+    keep = [F.col(n).alias(c) for c, n in own.items() if c not in added]
     if not facts["n"]:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keep = [c for c in pages.columns if c not in added]
+        return judged.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # What decides is host and path alone: each pair is looked up once, so that a host with a third of all pages is not
     # a hot key, and goes back by a join that can be split.
     hosts = judged.select("host", "path").distinct()

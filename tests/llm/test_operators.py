@@ -44,6 +44,11 @@ def test_mixing(spark, docs):
             assert all(abs(seen[s] - t * share[s]) < 1 for s in share)
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.in_order(table(spark, docs)).columns == ["doc_id", "text", "source", "slot"]
+    clashing = table(spark, docs).selectExpr("*", "1 as _k", "2 as _g", "3 as _slot", "4 as block", "5 as _p")
+    out = mixing.in_order(clashing, place=("slot", "_p"))
+    assert out.columns == ["doc_id", "text", "source", "_k", "_g", "_slot", "block", "slot", "_p"] and {(r._k, r._g, r._slot, r.block) for r in out.collect()} == {(1, 2, 3, 4)}
+    with pytest.raises(ValueError):
+        mixing.integer_weights({str(i): 1.0 for i in range(11)}, 10)
     with pytest.raises(ValueError):
         mixing.mix(table(spark, docs), max_sources=2)
 
@@ -66,6 +71,15 @@ def test_sharding(spark, docs):
         for s in ("a", "b", "c", None):  # each shard holds its share of each source
             assert abs(sum(r.source == s for r in v) - sum(d[2] == s for d in docs) / 7) <= 2
     assert sharding.shard(table(spark, []), 7).count() == 0
+    clashing = sharding.shard(table(spark, docs).selectExpr("*", "1 as _k", "2 as _n", "3 as _q"), 7)
+    assert {(r._k, r._n, r._q) for r in clashing.collect()} == {(1, 2, 3)}
+    # by brute force: fractional ranks of rows shuffled within their source, cut into equal shards
+    ranks = {}
+    for d in sorted(docs, key=lambda d: (hashlib.md5(f"42:{'null' if d[0] is None else d[0]}".encode()).hexdigest(), -1 if d[0] is None else d[0], hashlib.md5((d[1] or "").encode()).hexdigest())):
+        ranks.setdefault(d[2], []).append(d)
+    order = sorted(((2 * r - 1) / (2 * len(v)), "0" if s is None else f"={s}", r, str(d[:3])) for s, v in ranks.items() for r, d in enumerate(v, 1))
+    want = {(str(x[3]), i * 7 // len(order)) for i, x in enumerate(order)}
+    assert {(str((r.doc_id, r.text, r.source)), r.shard) for r in got} == want
     assert {r.shard for r in sharding.shard(table(spark, docs[:3]), 7).collect()} <= set(range(7))
 
 
@@ -192,32 +206,60 @@ def test_embedding_dedup_refuses_too_many_lengths(spark):
         embdedup.near_duplicates(rows)
 
 
+def brute_nearest(rows, asked, k):
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and any(v) and np.isfinite(v).all()]
+    out = {}
+    for q, v in {(q, tuple(v)) for q, v in asked if q is not None and v and None not in v and any(v) and np.isfinite(v).all()}:
+        best = sorted((-float((w * np.array(v)).sum()), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+        out[q] = [i for _, i in best]
+    return out
+
+
 def test_nearest_neighbours(spark):
     r = np.random.default_rng(3)
-    x = r.normal(size=(500, 16)).round(3)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [float("inf")] * 16), (None, x[0].tolist()), (603, x[1].tolist()), (604, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = r.normal(size=(500, 64)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 64), (602, [float("inf")] * 64), (None, x[0].tolist()), (603, x[1].tolist()), (603, x[1].tolist()), (604, [1.0]), (620, [2.0]), (640, [3.0] + [None] * 63), (100, x[100].tolist())]
+    rows += [(700 + i, x[3].tolist()) for i in range(30)]  # ties
+    df = spark.createDataFrame([(*x, "mine") for x in rows], "vec_id long, embedding array<double>, score string")
     asked = df.where("vec_id % 20 = 0")
+    seen = []
     for block in (8192, 100):
-        got = ann.search(df, asked, k=5, rows_block=block, queries_block=block).collect()
-        ok = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 16 and any(v) and np.isfinite(v).all()]
-        hit = total = 0
-        for q, v in ok:
-            if q % 20 == 0:
-                mine = sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])
-                assert [g["rank"] for g in mine] == [1, 2, 3, 4, 5] and all(g.vec_id != q for g in mine)
-                assert all(g.score == pytest.approx(float(np.dot(dict(ok)[g.vec_id], v))) for g in mine)
-                assert [(-g.score, g.vec_id) for g in mine] == sorted((-g.score, g.vec_id) for g in mine)
-                best = sorted(((-float(np.dot(w, v)), i) for i, w in ok if i != q))[:5]
-                hit, total = hit + len({i for _, i in best} & {g.vec_id for g in mine}), total + 5
-        assert hit / total >= 0.9
+        got = ann.search(df, asked, k=20, rows_block=block, queries_block=block).collect()
+        by = {}
+        for g in sorted(got, key=lambda g: (g.query_id, g["rank"])):
+            by.setdefault(g.query_id, []).append(g)
+        want = brute_nearest(rows, [x for x in rows if x[0] is not None and x[0] % 20 == 0], 20)
+        assert by.keys() == {q for q, v in want.items() if v} and [g.vec_id for g in by[620]] == [604]
+        hit = 0
+        for q, mine in by.items():
+            assert [g["rank"] for g in mine] == list(range(1, len(want[q]) + 1)) and all(g.vec_id != q for g in mine)
+            vectors = dict(x for x in rows if x[0] is not None)
+            assert all(g.score == pytest.approx(float(np.dot(vectors[g.vec_id], vectors[q]))) for g in mine)
+            assert [(-g.score, g.vec_id) for g in mine] == sorted((-g.score, g.vec_id) for g in mine)
+            hit += len(set(want[q]) & {g.vec_id for g in mine})
+        assert hit >= 0.9 * sum(len({*w}) for w in want.values())
+        seen.append(sorted(map(tuple, got)))
+    assert seen[0] == seen[1]  # blocks are no part of the result
     assert ann.search(df.limit(0), asked, k=5).count() == 0 and ann.search(df, asked.limit(0), k=5).count() == 0
     assert {len([g for g in ann.search(df.where("vec_id < 3"), df.where("vec_id = 0"), k=5).collect()])} == {2}
 
 
+def test_the_index_finds_every_code_within_the_radius():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 64))
+    x[1000:1100] = x[5]
+    model = ann.Model(x[:1000], 3000, 20, 0.95)
+    code = model.codes(x)
+    index = ann.Index(code)
+    for radius in (0, 20, model.radius):
+        for q in code[:20]:
+            at, probed = index.within(q, radius)
+            assert at.tolist() == np.flatnonzero(np.bitwise_count(code ^ q).sum(axis=1) <= radius).tolist() and probed >= len(at)
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "x.org/", None, "http://com/fr/", "ftp://b.com/de/#f", "http://notcom/de/", "http://h.org", "http://example.org/es", "://", "http://q.com/fr/", "http://q.com/fr/"]
-    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    pages = spark.createDataFrame([(i, u, "mine", "b") for i, u in enumerate(urls)], "page_id long, url string, rule string, _best string")
     rules = spark.createDataFrame(list(urlfilter.RULES), "action string, host string, path string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
     for i, u in enumerate(urls):
@@ -256,6 +298,11 @@ def test_toxicity(spark):
     assert all(by[i].predicted == y for i, y in labels)
     assert [by[i].predicted for i in (900, 901, 902, 903, 904, None)] == [1, 1, 0, 0, 0, 1]
     assert all(g.held_out == (g.doc_id is not None and zlib.crc32(str(g.doc_id).encode()) % 4 == 2) for g in got)
+    clashing = table(spark, rows).selectExpr("doc_id", "text", "7.0D as score", "'x' as predicted", "'y' as held_out", "1 as _hit", "doc_id as _k")
+    kept = toxicity.clean(clashing, lab)
+    assert kept.columns == clashing.columns and {tuple(r)[2:6] for r in kept.collect()} == {(7.0, "x", "y", 1)}
+    with pytest.raises(ValueError):
+        toxicity.score(clashing, lab, keep=["score"])
     kept = toxicity.clean(table(spark, rows), lab)
     assert kept.columns == ["doc_id", "text", "source", "slot"] and kept.count() == len(rows) - 80 - 4
     assert toxicity.score(table(spark, rows[:3]), lab.limit(0)).where("score = 0").count() == 3
