@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .packing import pack, unpack
+from .packing import give_back, pack, unpack
 
 CUT, BIG = 5, 0.9999
 #: Tokens of a chunk of documents, and bytes of text to a bucket, whatever the size of the corpus.
@@ -135,6 +135,7 @@ def encode(docs: DataFrame, key: str, text: str, folds: int, held: int, chunk_to
             row = [part << 32 | number], [mark], [pickle.dumps(keys)], [pack(deltas(words))], [pack(counts)], [blob]
             number += 1
             keys, out, lengths = [], [], []
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)], ["chunk", "mark", "keys", "words", "counts", "blob"])
 
         for b in batches:
@@ -265,6 +266,8 @@ def deal_tokens(chunks: DataFrame, counted: DataFrame, buckets: int, hot: int) -
                 deltas(number[nv]), salts[nv] > 1, known[nv], np.diff(np.append(names, len(pairs))), deltas(number[own_w]), known[own_w], at_w,
                 np.diff(np.append(pairs, j - i)), deltas(number[own_u]), at_u, doc[i:j], away, np.array([base, number[rank[end]]]),
             )))
+        del order, v, w, u, doc, bucket
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "keys", "blob"])
 
     left, right = chunks.select("chunk", "mark", "keys", "blob"), counted.select("chunk", "mark", "bucket", "back")
@@ -312,6 +315,7 @@ class Bucket:
         eu, ep = place.astype(np.int32)[take(3)], take(2)
         del lists, raw, first, place
         order, new = joint(pv[ep], pw[ep], eu)
+        order = order.astype(np.int32)
         ep, eu = ep[order], eu[order]
         self.kind = spread(new, len(order)).astype(np.int32)
         self.doc, train = take(4)[order], take(5)[order]
@@ -404,6 +408,8 @@ def gather(dealt: DataFrame, one: Unigrams, buckets: int) -> DataFrame:
                 own[mine] = np.arange(len(mine))
                 whole = np.flatnonzero(seen_context[ours[mine]])
                 out.append({"bucket": None, "keys": None, "blob": pack(u[mine], v[mine], doc[e], own[asks[e]], whole, *[x[ours[mine[whole]]] for x in sums3]), "context": int(k), **zeros})
+        del b, docs, at, value, off, where
+        give_back()
         return pd.DataFrame(out)
 
     return dealt.groupBy("bucket").applyInPandas(run, f"bucket int, keys binary, blob binary, context int, {SUMS}, {SUMS3}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 
 import numpy as np
@@ -17,6 +18,14 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return memory that is free to the system, so that a worker holds no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     head, body = [], []
     for x in arrays:
