@@ -18,25 +18,40 @@ TOKEN = re.compile(
     r"|(?P<quoted>`[^`]*`)|(?P<param>@{1,2}\w+)|(?P<number>\d[\w.]*)|(?P<word>[^\W\d][\w$]*)|(?P<symbol>.)",
     re.S,
 )
-#: Words that are no alias, no column and no function.
+#: Words that are no alias, no column and no function; words of types; functions that Spark names otherwise.
 RESERVED = frozenset(
-    """ALL AND ANY ARRAY AS ASC ASSERT AT BETWEEN BY CASE CAST COLLATE CREATE CROSS CUBE CURRENT DEFAULT DELETE DESC DISTINCT ELSE END EXCEPT EXISTS EXTRACT FALSE FETCH
-    FOLLOWING FOR FROM FULL GROUP GROUPING HAVING IF IGNORE IN INNER INSERT INTERSECT INTERVAL INTO IS JOIN LATERAL LEFT LIKE LIMIT MERGE NATURAL NOT NULL NULLS OFFSET ON OR
-    ORDER OUTER OVER PARTITION PRECEDING QUALIFY RANGE RECURSIVE REPLACE RESPECT RIGHT ROLLUP ROWS SELECT SET SOME STRUCT TABLESAMPLE THEN TO TRUE UNBOUNDED UNION UNNEST
-    UPDATE USING VALUES WHEN WHERE WINDOW WITH WITHIN""".split()
+    """ALL AND ANY ARRAY AS ASC ASSERT_ROWS_MODIFIED AT BETWEEN BY CASE CAST CLUSTER COLLATE CONTAINS CREATE CROSS CUBE CURRENT DEFAULT DEFINE DELETE DESC DISTINCT ELSE END
+    ENUM ESCAPE EXCEPT EXCLUDE EXISTS EXTRACT FALSE FETCH FOLLOWING FOR FROM FULL GROUP GROUPING GROUPS HASH HAVING IF IGNORE IN INNER INSERT INTERSECT INTERVAL INTO IS
+    JOIN LATERAL LEFT LIKE LIMIT LOOKUP MERGE NATURAL NEW NO NOT NULL NULLS OF OFFSET ON OR ORDER OUTER OVER PARTITION PRECEDING PROTO QUALIFY RANGE RECURSIVE REPLACE
+    RESPECT RIGHT ROLLUP ROWS SELECT SET SOME STRUCT TABLESAMPLE THEN TO TREAT TRUE UNBOUNDED UNION UNNEST UPDATE USING VALUES WHEN WHERE WINDOW WITH WITHIN""".split()
 )
 TYPES = frozenset("ARRAY BIGNUMERIC BOOL BYTES DATE DATETIME FLOAT64 GEOGRAPHY INT64 INTERVAL JSON NUMERIC RANGE STRING STRUCT TIME TIMESTAMP".split())
+#: The function of Spark for each; empty where there is none.
+COUNTERPARTS = {
+    "APPROX_QUANTILES": "approx_percentile", "APPROX_TOP_COUNT": "approx_top_k", "APPROX_TOP_SUM": "", "COUNTIF": "count_if", "LOGICAL_AND": "bool_and", "LOGICAL_OR": "bool_or",
+    "ARRAY_CONCAT": "concat", "ARRAY_LENGTH": "size", "ARRAY_REVERSE": "reverse", "ARRAY_TO_STRING": "array_join", "GENERATE_ARRAY": "sequence", "GENERATE_DATE_ARRAY": "sequence",
+    "GENERATE_TIMESTAMP_ARRAY": "sequence", "UNNEST": "explode", "BYTE_LENGTH": "octet_length", "UNICODE": "ascii", "TO_CODE_POINTS": "", "CODE_POINTS_TO_STRING": "",
+    "CODE_POINTS_TO_BYTES": "", "CONTAINS_SUBSTR": "contains", "STRPOS": "locate", "STARTS_WITH": "startswith", "ENDS_WITH": "endswith", "NORMALIZE": "", "NORMALIZE_AND_CASEFOLD": "",
+    "REGEXP_CONTAINS": "regexp", "FORMAT": "format_string", "FORMAT_DATE": "date_format", "FORMAT_DATETIME": "date_format", "FORMAT_TIMESTAMP": "date_format", "FORMAT_TIME": "",
+    "PARSE_DATE": "to_date", "PARSE_DATETIME": "to_timestamp_ntz", "PARSE_TIMESTAMP": "to_timestamp", "PARSE_NUMERIC": "to_number", "PARSE_TIME": "", "TIME_ADD": "", "TIME_SUB": "",
+    "CURRENT_DATETIME": "localtimestamp", "DATETIME": "to_timestamp_ntz", "DATETIME_ADD": "timestampadd", "DATETIME_SUB": "timestampadd", "DATETIME_DIFF": "timestampdiff",
+    "DATETIME_TRUNC": "date_trunc", "TIMESTAMP_ADD": "timestampadd", "TIMESTAMP_SUB": "timestampadd", "TIMESTAMP_DIFF": "timestampdiff", "TIMESTAMP_TRUNC": "date_trunc", "SAFE_CAST": "try_cast",
+    "ERROR": "raise_error", "IEEE_DIVIDE": "", "IS_NAN": "isnan", "IS_INF": "", "SHA256": "sha2", "SHA512": "sha2", "FARM_FINGERPRINT": "", "TO_HEX": "hex", "TO_BASE64": "base64",
+    "FROM_BASE64": "unbase64", "TO_BASE32": "", "FROM_BASE32": "", "JSON_VALUE": "get_json_object", "JSON_EXTRACT_SCALAR": "get_json_object", "JSON_EXTRACT": "get_json_object",
+    "JSON_QUERY": "get_json_object", "JSON_VALUE_ARRAY": "from_json", "JSON_EXTRACT_ARRAY": "from_json", "JSON_QUERY_ARRAY": "from_json", "TO_JSON_STRING": "to_json", "NET_HOST": "parse_url",
+    "NET_IP_FROM_STRING": "", "NET_IP_TO_STRING": "", "NET_PUBLIC_SUFFIX": "", "NET_REG_DOMAIN": "",
+}
 CLAUSES = {"SELECT", "FROM", "JOIN", "ON", "USING", "WHERE", "GROUP", "HAVING", "QUALIFY", "ORDER", "WINDOW", "LIMIT", "SET", "VALUES"}
-CONSTRAINTS = frozenset("CONSTRAINT PRIMARY FOREIGN UNIQUE CHECK".split())
+CONSTRAINTS = frozenset("CHECK CLUSTER CONSTRAINT FOREIGN OPTIONS PARTITION PRIMARY UNIQUE".split())
 FIELDS = ["record", "statement", "scope", "name", "kind", "confidence", "alias", "column", "clause", "line"]
 SCHEMA = "path string, record string, statement int, scope string, name string, kind string, confidence string, alias string, `column` string, clause string, line int"
 
 
 class Tok:
-    __slots__ = ("text", "up", "kind", "line")
+    __slots__ = ("text", "up", "kind", "line", "at")
 
-    def __init__(self, text: str, kind: str, line: int):
-        self.text, self.kind, self.line = text, kind, line
+    def __init__(self, text: str, kind: str, line: int, at: int = 0):
+        self.text, self.kind, self.line, self.at = text, kind, line, at
         self.up = text.upper() if kind == "word" else text
 
     @property
@@ -48,7 +63,7 @@ def tokens(sql: str) -> list[Tok]:
     out, line = [], 1
     for m in TOKEN.finditer(sql):
         if m.lastgroup not in ("skip",):
-            out.append(Tok(m[0], m.lastgroup, line))
+            out.append(Tok(m[0], m.lastgroup, line, m.start()))
         line += m[0].count("\n")
     return out
 
@@ -77,9 +92,27 @@ def close(toks: list[Tok], i: int) -> int:
     return len(toks)
 
 
-def path_at(toks: list[Tok], i: int) -> tuple[list[str], int]:
-    """Parts of a dotted name at i, and the place after it."""
+def dashed(toks: list[Tok], i: int) -> tuple[list[str], int]:
+    """The parts of a name whose project has dashes, and no space, up to the project or all that a number holds, and the
+    place after them; none where there is no such project at i."""
+    j = i
+    while j + 2 < len(toks) and toks[j + 1].text == "-" and toks[j].at + len(toks[j].text) == toks[j + 1].at and toks[j + 2].at == toks[j + 1].at + 1 and toks[j + 2].kind in ("word", "number"):
+        j += 2
+    text = "".join(t.text for t in toks[i : j + 1])
+    if j > i and "." in text:  # a number takes the dots behind it
+        return text.split("."), j + 1
+    if j > i and j + 1 < len(toks) and toks[j + 1].text == ".":
+        return [text], j + 2
+    return [], i
+
+
+def path_at(toks: list[Tok], i: int, table: bool = False) -> tuple[list[str], int]:
+    """Parts of a dotted name at i, and the place after it. A table's name may begin with a project that has dashes."""
     parts: list[str] = []
+    if table and i < len(toks) and toks[i].kind == "word":
+        parts, i = dashed(toks, i)
+        if len(parts) > 1:
+            return parts, i
     while i < len(toks) and (toks[i].name or parts and toks[i].kind == "word"):
         parts += toks[i].text.strip("`").split(".") if toks[i].kind == "quoted" else [toks[i].text]
         i += 1
@@ -120,7 +153,7 @@ class Analysis:
         i += 1
         while i < len(up) and up[i] in ("IF", "NOT", "EXISTS"):
             i += 1
-        parts, j = path_at(toks, i)
+        parts, j = path_at(toks, i, table=True)
         if not parts:
             self.put("error", n, scope, None, kind, None, toks[0].line)
             return len(toks)
@@ -210,6 +243,7 @@ class Analysis:
                 clause = t.up
             clause_at.append(clause)
             begins = not odd and (t.up in ("FROM", "JOIN", "UPDATE", "INTO") or t.up == "USING" and i + 1 < len(toks) and toks[i + 1].text != "(" or t.up in ("INSERT", "MERGE") and i + 1 < len(toks) and toks[i + 1].name)
+            begins = begins or t.up == "TABLE" and i > 0 and toks[i - 1].up == "TRUNCATE"
             begins = begins or t.text == "," and clause in ("FROM", "JOIN", "ON", "USING") and not waits
             i += 1
             if begins:
@@ -249,7 +283,7 @@ class Analysis:
                 sources[alias.lower()] = (alias, "unnest", "possible")
             self.put("source", n, scope, alias, "unnest", "ignored", line, alias=alias)
             return min(max(j, end + 1), len(toks))
-        parts, j = path_at(toks, i)
+        parts, j = path_at(toks, i, table=True)
         if not parts:
             return i
         name, kind = ".".join(parts[-3:]), "table"
@@ -355,7 +389,7 @@ def analyze(sql: str | None, builtins: frozenset[str] = frozenset()) -> list[tup
 def lineage(files: DataFrame) -> DataFrame:
     """The rows of all files (path, content), by statement. Spark's own function names count as built in."""
     spark = files.sparkSession
-    names = frozenset(r[0].upper() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()) | frozenset("COUNTIF LOGICAL_AND LOGICAL_OR SAFE_CAST STRPOS STARTS_WITH ENDS_WITH GENERATE_ARRAY ARRAY_LENGTH DATETIME_DIFF FORMAT_DATE PARSE_DATE TIMESTAMP_DIFF JSON_VALUE".split())
+    names = frozenset(r[0].upper() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()) | frozenset(COUNTERPARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

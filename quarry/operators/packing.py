@@ -9,19 +9,37 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """Checkpoint to the folder of ``spark.checkpoint.dir``; where it is unset a temporary one on one machine, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quarry-checkpoints"))
+        at = sc.getConf().get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "quarry-checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def unit_ids(units: DataFrame, risk: str, arrival: str, prefix: str = "full-scan-unit-") -> DataFrame:
+    """units with unit_id: numbered from 1 by falling risk, and by arrival among equals.
+
+    Rows are sorted by ranges; a row's number is its place in its range and the rows of the ranges before, so that they
+    never meet in one task.
+    """
+    rows = cut(units.orderBy(F.desc(risk), arrival).withColumn("_m", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_r", F.shiftright("_m", 33))
+    before = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_c")).select("_r", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    n = F.col("_m") - F.shiftleft(F.col("_r"), 33) + F.col("_s") + 1
+    return rows.join(F.broadcast(sizes), "_r").withColumn("unit_id", F.concat(F.lit(prefix), n.cast("string"))).drop("_m", "_r", "_s")
+
+
 def next_fit(rows: list[tuple[str, int]], most_files: int = 5, most_lines: int = 1200) -> list[int]:
     """Batch number (from 1) of each (name, lines) in order: a batch is closed by the first row that does not fit."""
     out, batch, held, n = [], 1, 0, 0

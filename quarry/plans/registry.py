@@ -15,7 +15,6 @@ from quarry.operators import corpus as C
 from quarry.operators import packing as P
 from quarry.operators.lineage import lineage
 from quarry.plans import relational
-from quarry.sources.diffs import diff_lines
 
 SUFFIX_OF = {"en": "py", "de": "sql", "fr": "go"}
 
@@ -68,12 +67,20 @@ def ref_deleted(spark, sf_dir):
     return C.deleted(corpus(spark, sf_dir), _index(spark, sf_dir))
 
 
+#: Lines that trigger the rules on SQL, made of all lines: some end with a comma or begin a clause, letters stand for marks.
+SQL_LINE = "translate(CASE line % 7 WHEN 2 THEN content || ',' WHEN 3 THEN 'from ' || content WHEN 5 THEN '' WHEN 6 THEN '  -- ' || content ELSE content END, 'qzw', chr(39) || '()')"
+
+
 def ref_sql_findings(spark, sf_dir):
-    return C.sql_findings(C.numbered(corpus(spark, sf_dir)))
+    return C.sql_findings(P.cut(C.numbered(corpus(spark, sf_dir)).withColumn("content", F.expr(SQL_LINE))))
+
+
+#: Lines of languages with braces, made of all lines.
+C_LINE = """CASE line % 8 WHEN 1 THEN 'public class ' || w || ' {' WHEN 2 THEN '  if (' || w || ' = 1);' WHEN 3 THEN 'int ' || w WHEN 4 THEN w || '.call(1)' WHEN 5 THEN '}' WHEN 6 THEN 'if (' || w || ' == 1) ;' WHEN 7 THEN 'static int ' || w || '(int a)' ELSE content END"""
 
 
 def ref_c_style_findings(spark, sf_dir):
-    lines = C.numbered(corpus(spark, sf_dir))
+    lines = C.numbered(corpus(spark, sf_dir)).withColumn("w", F.regexp_extract("content", "([A-Za-z]+)", 1)).withColumn("content", F.expr(C_LINE))
     lang = F.when(F.col("path").endswith(".py"), "java").when(F.col("path").endswith(".sql"), "csharp").otherwise("go")
     return C.c_style_findings(lines.withColumn("language", lang))
 
@@ -173,32 +180,23 @@ def ref_markers(spark, sf_dir):
     return conv.select("conv_id", "turn", T.any_mark(t, T.TRANSIENT).alias("transient"), T.any_mark(t, T.DAILY_QUOTA).alias("daily"), F.length(T.shorten(t, 400, "...")).alias("n"), T.clamp(F.substring(t, 1, 2), 4, 1, 20).alias("clamped"))
 
 
-def ref_symbols(spark, sf_dir):
-    """Declarations that lines would be, after each line of a document has been put into the form of its language."""
-    lines = C.numbered(corpus(spark, sf_dir)).where("line = 1")
-    word = F.regexp_extract("content", "([A-Za-z]+)", 1)
-    form = F.when(F.col("path").endswith(".py"), F.concat(F.lit("  def "), word, F.lit("(a):"))).when(F.col("path").endswith(".go"), F.concat(F.lit("func (r T) "), word, F.lit("() {"))).otherwise(F.concat(F.lit("create or replace table `a."), word, F.lit("` (")))
-    lines = lines.withColumn("content", form)
-    return lines.select("path", T.symbol(F.col("path"), F.col("content")).alias("s"), T.comment_or_blank(F.col("path"), F.col("content")).alias("comment")).select("path", "s.*", "comment")
-
-
 def ref_json(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", F.from_json("props", "k long").getField("k").alias("k"), (F.length("props") > 7).alias("long_props"))
 
 
-def ref_lineage(spark, sf_dir):
-    """A view is written for every document, over a table named by source and language."""
-    made = F.format_string("create view d.v%s as select t.a, count(*) n from d.%s_%s t join (select a from other) o on o.a = t.a where t.b > 1", F.col("doc_id").cast("string"), "source", "lang")
-    return lineage(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), made.alias("content")))
+#: A statement for each document, of one of three shapes, with names from its text.
+STATEMENTS = {
+    0: "'create view d.v' || id || ' as select t.' || w || ', count(*) as n from d.' || source || ' t join (select k from other) o on o.k = t.a where t.b > 1'",
+    1: "'insert into d.' || w || '_out select ' || w || ' from p.d.' || source || ' -- ' || w",
+    2: "'with c as (select z from d.' || source || ') select c.z, d.' || w || '(1) from c; drop table d.' || w",
+}
 
 
-def ref_diff_lines(spark, sf_dir):
-    """A diff is written for every document: its first line goes, another comes."""
-    first = F.get(T.lines(F.col("content")), F.lit(0))
-    text = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1,1 +1,2 @@ head\n-"), first, F.lit("\n+one\n+two\n"))
-    lines = diff_lines(corpus(spark, sf_dir).select(F.col("path").alias("diff_id"), text.alias("diff")))
-    return lines.select("diff_id", "path", "change_type", "hunk", "kind", "source_line", "target_line", F.length("content").alias("n"))
+def ref_lineage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumns({"id": F.col("doc_id").cast("string"), "w": F.concat(F.lit("x"), F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)))})
+    made = F.expr("CASE n_chars % 3 " + " ".join(f"WHEN {k} THEN {v}" for k, v in STATEMENTS.items()) + " END")
+    return lineage(docs.select(F.col("id").alias("path"), made.alias("content"))).select("path", "record", "statement", "scope", "name", "kind", "confidence", "alias", "column", "clause")
 
 
 def _owned() -> dict[str, Callable]:
@@ -206,10 +204,13 @@ def _owned() -> dict[str, Callable]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _owned() | P.queries(corpus) | relational.queries()
+    from quarry.plans import review
+
+    return _owned() | P.queries(corpus) | review.queries() | relational.queries()
 
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+FILE_LINE_END = r"\r\n|[\n\r]"
 SPACE = r"[\t-\r\x1C-\x20\x{85}\p{Z}]"
 
 CORPUS = f"""
@@ -247,14 +248,15 @@ def _count(c: str, what: str) -> str:
 
 
 ORACLE = {
-    "ref_inventory": CORPUS + "SELECT path, CASE split_part(path, '.', -1) WHEN 'py' THEN 'python' ELSE split_part(path, '.', -1) END AS language, len(ls) AS line_count FROM cut WHERE NOT path LIKE '%.md' AND content IS NOT NULL",
-    "ref_lines": CORPUS + f"SELECT path, line, {_HASH} AS content, (SELECT true) AND n >= 500 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM lines) WHERE line <= 500",
+    "ref_inventory": CORPUS + "SELECT path, CASE split_part(path, '.', -1) WHEN 'py' THEN 'python' ELSE split_part(path, '.', -1) END AS language, CASE WHEN content = '' THEN 0 WHEN fl[-1] = '' THEN len(fl) - 1 ELSE len(fl) END AS line_count FROM (SELECT *, regexp_split_to_array(content, '" + FILE_LINE_END + "') AS fl FROM cut) WHERE NOT path LIKE '%.md' AND content IS NOT NULL",
+    "ref_lines": CORPUS + f"SELECT path, line, {_HASH} AS content, n > 500 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM lines) WHERE line <= 500",
     "ref_section": CORPUS + "SELECT path, line, length(content) AS content, n AS total_lines FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM lines) WHERE line BETWEEN 3 AND 7",
     "ref_plan_facts": CORPUS + FACTS + " SELECT * FROM facts",
     "ref_changes": CORPUS + INDEX + f""" SELECT coalesce(f.path, idx.path) AS path, CASE WHEN f.path IS NULL THEN 'deleted' WHEN idx.path IS NULL THEN 'new' WHEN {_HASH} <> idx.sha256 THEN 'changed' ELSE 'unchanged' END AS status
       FROM files f FULL JOIN idx ON f.path = idx.path""",
     "ref_deleted": CORPUS + INDEX + " SELECT * FROM idx WHERE path NOT IN (SELECT path FROM files)",
-    "ref_sql_findings": CORPUS + f""", v AS (SELECT *, {_count('s', "''")} - 2 * {_count('s', "''''")} AS q, {_count('s', '(')} - {_count('s', ')')} AS b FROM stripped WHERE NOT starts_with(s, '--')),
+    "ref_sql_findings": CORPUS + f""", coded AS (SELECT path, line, {SQL_LINE} AS content FROM lines), s2 AS (SELECT path, line, regexp_replace(content, '^{SPACE}+|{SPACE}+$', '', 'g') AS s FROM coded),
+      v AS (SELECT *, {_count('s', "''")} - 2 * {_count('s', "''''")} AS q, {_count('s', '(')} - {_count('s', ')')} AS b FROM s2 WHERE NOT starts_with(s, '--')),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS n FROM v),
       walk AS (SELECT path, n, line, greatest(b, 0) AS bal, b < 0 AS f FROM ranked WHERE n = 1
         UNION ALL SELECT r.path, r.n, r.line, greatest(w.bal + r.b, 0), w.bal + r.b < 0 FROM walk w JOIN ranked r ON r.path = w.path AND r.n = w.n + 1),
@@ -284,10 +286,10 @@ ORACLE = {
     "ref_shard_count": CORPUS + """SELECT count(*) AS n_units, sum(len(ls)) AS total_lines, sum(length(content)) AS total_chars,
       least(20, count(*), greatest(1, CAST(ceil(sum(len(ls)) / 6000) AS BIGINT), CAST(ceil(sum(length(content)) / 300000) AS BIGINT), CAST(ceil(count(*) / 24) AS BIGINT))) AS n_shards FROM cut""",
     "ref_tiered_limit": CORPUS + FACTS + """ SELECT path, risk, n_lines, row_number() OVER (ORDER BY risk = 0, path) AS rank, (SELECT count(*) > 100 FROM facts) AS truncated FROM facts QUALIFY rank <= 100""",
-    "ref_context_budget": CORPUS + f""", top AS (SELECT path, content, row_number() OVER (ORDER BY lower(path)) AS rank FROM files WHERE regexp_matches(content, '[^{SPACE[1:-1]}]') QUALIFY rank <= 5),
-      c AS (SELECT *, least(length(content), 8000) AS c FROM top),
-      b AS (SELECT *, greatest(0, least(c, 24000 - coalesce(sum(c) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used FROM c)
-      SELECT path, rank, used, used < length(content) AS cut FROM b WHERE used > 0""",
+    "ref_context_budget": CORPUS + f""", top AS (SELECT path, length(content) AS n, row_number() OVER (ORDER BY lower(path), path) AS rank FROM files WHERE regexp_matches(content, '[^{SPACE[1:-1]}]') QUALIFY rank <= 5),
+      b AS (SELECT path, rank, n, CAST(least(8000, n) AS BIGINT) AS used, n > 8000 AS cut, CAST(24000 - least(8000, n) - CASE WHEN n > 8000 THEN {len(C.CUT_NOTE)} ELSE 0 END AS BIGINT) AS room FROM top WHERE rank = 1
+        UNION ALL SELECT t.path, t.rank, t.n, least(8000, b.room, t.n), t.n > least(8000, b.room), b.room - least(8000, b.room, t.n) - CASE WHEN t.n > least(8000, b.room) THEN {len(C.CUT_NOTE)} ELSE 0 END FROM b JOIN top t ON t.rank = b.rank + 1 WHERE b.room > 0)
+      SELECT path, rank, used, cut FROM b""",
     "ref_integrity": """SELECT coalesce(l.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'unknown' WHEN l.k IS NULL THEN 'missing' ELSE 'duplicate' END AS problem
       FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) l FULL JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P') o ON l.k = o.k WHERE o.k IS NULL OR l.k IS NULL OR n > 1""",
     "ref_object_match": """WITH nr AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -309,14 +311,40 @@ ORACLE = {
     "ref_report": "SELECT user_id, string_agg(event_type || ':' || event_id, chr(10) ORDER BY ts, event_id) AS report, count(*) AS n FROM events GROUP BY 1",
     "ref_markers": f"""SELECT conv_id, turn, {' OR '.join(f"contains(lower(text), '{m}')" for m in T.TRANSIENT)} AS transient, {' OR '.join(f"contains(lower(text), '{m}')" for m in T.DAILY_QUOTA)} AS daily,
       CASE WHEN length(text) > 400 THEN 103 ELSE length(text) END AS n, greatest(1, least(20, coalesce(try_cast(substr(text, 1, 2) AS INT), 4))) AS clamped FROM conversations""",
-    "ref_symbols": CORPUS + """, f AS (SELECT path, regexp_extract(content, '([A-Za-z]+)', 1) AS w, split_part(path, '.', -1) AS x FROM lines WHERE line = 1)
-      SELECT path, CASE WHEN x IN ('py', 'go') AND w <> '' THEN w WHEN x = 'sql' THEN 'a.' || w END AS name, CASE WHEN x IN ('py', 'go') AND w <> '' THEN 'method' WHEN x = 'sql' THEN 'table' END AS kind, false AS comment FROM f""",
-    "ref_diff_lines": CORPUS + """, f AS (SELECT path, content FROM lines WHERE line = 1)
-      SELECT path AS diff_id, path, 'modified' AS change_type, 1 AS hunk, 'removed' AS kind, 1 AS source_line, NULL::INT AS target_line, length(content) AS n FROM f
-      UNION ALL SELECT path, path, 'modified', 1, 'added', NULL, 1, 3 FROM f UNION ALL SELECT path, path, 'modified', 1, 'added', NULL, 2, 3 FROM f""",
+    "ref_c_style_findings": CORPUS + fr""", coded AS (SELECT path, line, {C_LINE} AS content, CASE x WHEN 'py' THEN 'java' WHEN 'sql' THEN 'csharp' ELSE 'go' END AS language FROM (SELECT *, regexp_extract(content, '([A-Za-z]+)', 1) AS w, split_part(path, '.', -1) AS x FROM lines)),
+      c AS (SELECT *, regexp_replace(content, '^{SPACE}+|{SPACE}+$', '', 'g') AS s, regexp_extract(content, '\bpublic\s+class\s+([A-Za-z_]\w*)', 1) AS named, split_part(string_split(path, '/')[-1], '.', 1) AS stem FROM coded),
+      m AS (SELECT *, regexp_extract(s, '^\w+') AS word FROM c WHERE language IN ('java', 'csharp') AND s <> '' AND NOT regexp_matches(s, '[;{{}}:,]$') AND NOT regexp_matches(s, '^([*@]|//|/\*)'))
+      SELECT path, line, 'critical' AS severity, 'syntax_error' AS category, 'class_name' AS rule FROM c WHERE language = 'java' AND named <> '' AND named <> stem
+      UNION ALL SELECT path, line, 'high', 'logic_error', 'empty_if' FROM c WHERE regexp_matches(s, '^if\s*\(.*\)\s*;$')
+      UNION ALL SELECT path, line, 'critical', 'syntax_error', 'assignment_in_if' FROM c WHERE language IN ('java', 'csharp') AND regexp_matches(s, '\bif\s*\([^)]*[^=!<>]=[^=][^)]*\)')
+      UNION ALL SELECT path, line, 'critical', 'syntax_error', 'missing_semicolon' FROM m WHERE word NOT IN ({", ".join(f"'{x}'" for x in C.BLOCK_WORDS)})
+        AND NOT (ends_with(s, ')') AND (word IN ({", ".join(f"'{x}'" for x in C.MODIFIERS)}) OR regexp_matches(s, '^[A-Za-z_][\w<>\[\], ?]*\s[A-Za-z_]\w*\s*\([^;{{}}]*$')))
+        AND (word IN ({", ".join(f"'{x}'" for x in C.TYPE_WORDS)}) OR {" OR ".join(f"starts_with(s, '{x}')" for x in C.STATEMENT_STARTS)} OR contains(s, '=') OR (ends_with(s, ')') AND regexp_matches(s, '^[A-Za-z_]\w*\.[A-Za-z_]\w*\(')))
+      UNION ALL SELECT path, max(line), 'critical', 'syntax_error', 'braces' FROM c GROUP BY path HAVING sum(length(s) - length(replace(s, '{{', '')) - length(s) + length(replace(s, '}}', ''))) <> 0""",
+    "ref_batches": CORPUS + FACTS + """, r AS (SELECT path, n_lines, split_part(path, '.', -1) AS language, row_number() OVER (PARTITION BY split_part(path, '.', -1) ORDER BY path) AS i FROM facts),
+      w AS (SELECT path, n_lines, language, i, 1 AS batch, n_lines AS held, 1 AS k FROM r WHERE i = 1
+        UNION ALL SELECT r.path, r.n_lines, r.language, r.i, CASE WHEN w.k >= 5 OR w.held + r.n_lines > 1200 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.k >= 5 OR w.held + r.n_lines > 1200 THEN r.n_lines ELSE w.held + r.n_lines END,
+          CASE WHEN w.k >= 5 OR w.held + r.n_lines > 1200 THEN 1 ELSE w.k + 1 END FROM w JOIN r ON r.language = w.language AND r.i = w.i + 1)
+      SELECT language, path, n_lines, batch FROM w""",
+    "ref_small_units": CORPUS + FACTS + """, r AS (SELECT path, n_lines, n_chars, split_part(path, '.', -1) AS language, row_number() OVER (PARTITION BY split_part(path, '.', -1) ORDER BY path) AS i FROM facts WHERE size_class = 'small'),
+      w AS (SELECT path, language, i, CAST(1 AS BIGINT) AS spot, [{'k': 1, 'a': n_lines, 'b': n_chars}] AS us FROM r WHERE i = 1
+        UNION ALL SELECT path, language, i, spot, CASE WHEN spot > len(us) THEN list_append(us, {'k': 1, 'a': n_lines, 'b': n_chars})
+            ELSE list_concat(us[:spot - 1], list_concat([{'k': us[spot].k + 1, 'a': us[spot].a + n_lines, 'b': us[spot].b + n_chars}], us[spot + 1:])) END
+          FROM (SELECT r.*, w.us, coalesce(list_position(list_transform(w.us, lambda u: u.k < 8 AND u.a + r.n_lines <= 900 AND u.b + r.n_chars <= 45000), true), len(w.us) + 1) AS spot FROM w JOIN r ON r.language = w.language AND r.i = w.i + 1))
+      SELECT language, path, spot - 1 AS unit FROM w""",
+    "ref_lineage": """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS path, source, 'x' || lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS w, n_chars % 3 AS k FROM documents),
+      r(k, record, st, tail, name, kind, confidence, alias, col, clause) AS (VALUES
+        (0, 'definition', 1, '', 'd.v@', 'view', 'confirmed', NULL, NULL, NULL), (0, 'source', 1, '', 'd.$', 'table', 'confirmed', 't', NULL, NULL), (0, 'source', 1, '/subquery:0', 'other', 'table', 'possible', NULL, NULL, NULL),
+        (0, 'column', 1, '/subquery:0', 'other', 'table', 'possible', NULL, 'k', 'select'), (0, 'column', 1, '', 'd.$', 'table', 'confirmed', 't', '#', 'select'), (0, 'column', 1, '', 'd.$', 'table', 'confirmed', 't', 'a', 'on'), (0, 'column', 1, '', 'd.$', 'table', 'confirmed', 't', 'b', 'where'),
+        (1, 'source', 1, '', 'd.#_out', 'table', 'confirmed', NULL, NULL, NULL), (1, 'source', 1, '', 'p.d.$', 'table', 'confirmed', NULL, NULL, NULL), (1, 'column', 1, '', 'd.#_out', 'table', 'possible', NULL, '#', 'select'), (1, 'column', 1, '', 'p.d.$', 'table', 'possible', NULL, '#', 'select'),
+        (2, 'cte', 1, '', 'c', 'cte', 'ignored', NULL, NULL, NULL), (2, 'source', 1, '/cte:c', 'd.$', 'table', 'confirmed', NULL, NULL, NULL), (2, 'column', 1, '/cte:c', 'd.$', 'table', 'confirmed', NULL, 'z', 'select'), (2, 'source', 1, '', 'c', 'cte', 'ignored', NULL, NULL, NULL),
+        (2, 'routine', 1, '', 'd.#', 'function', 'confirmed', NULL, NULL, 'select'), (2, 'mutation', 2, '', 'd.#', 'drop_table', 'confirmed', NULL, NULL, NULL))
+      SELECT path, record, st AS statement, 'statement:' || st || tail AS scope, replace(replace(replace(name, '@', path), '$', source), '#', w) AS name, kind, confidence, alias, replace(col, '#', w) AS "column", clause FROM t JOIN r USING (k)""",
     "ref_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, length(props) > 7 AS long_props FROM events",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | relational.oracle_sql()
+    from quarry.plans import review_sql
+
+    return ORACLE | review_sql.oracle_sql() | relational.oracle_sql()

@@ -6,72 +6,124 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)")
-SCHEMA = "diff_id string, path string, change_type string, hunk int, section string, line int, kind string, source_line int, target_line int, content string, review_target boolean"
+SCHEMA = (
+    "diff_id string, path string, source_file string, target_file string, change_type string, is_binary boolean, hunk int, section string, source_start int, source_length int, "
+    "target_start int, target_length int, line int, kind string, source_line int, target_line int, content string, review_target boolean"
+)
 KINDS = {"+": "added", "-": "removed", " ": "context", "": "context", "\\": "metadata"}
+NO_LINE = (None,) * 11 + (False,)
+
+
+def _header_path(row: str) -> str:
+    """The path of ``diff --git a/x b/x``; where both sides differ, what stands behind the last `` b/``."""
+    both = row[len("diff --git ") :]
+    half = len(both) // 2
+    return both[half + 3 :] if both[2:half] == both[half + 3 :] and both[half : half + 3] == " b/" else both.rpartition(" b/")[2]
+
+
+class _File:
+    def __init__(self, path: str = "", source: str | None = None, target: str | None = None):
+        self.path, self.source, self.target = path, source, target
+        self.kind, self.binary, self.hunks, self.real = "modified", False, 0, bool(path)
+
+    def head(self) -> tuple:
+        kind = "binary" if self.binary else self.kind
+        return self.path, self.source, self.target, kind, self.binary
 
 
 def parse(diff: str, most: int | None = None) -> Iterator[tuple]:
-    """(path, change_type, hunk, section, line, kind, source_line, target_line, content, review_target).
+    """Rows of SCHEMA without the diff's id. A file without hunks (binary, or only renamed) has one row without a hunk.
 
-    Beyond ``most`` lines in all, each hunk ends with one line of kind ``truncated``. A binary file has one row without
-    a hunk.
+    Beyond ``most`` lines in all, each hunk ends with one line of kind ``truncated``. A note such as the one on a missing
+    last line end is a row of kind ``metadata``, also behind the last line that a hunk counts.
     """
-    path, old, kind, seen, hunk = "", "", "modified", 0, 0
-    rows = iter(diff.split("\n"))
-    for row in rows:
+    rows, at, seen = diff.split("\n"), 0, 0
+    now = _File()
+
+    def done() -> Iterator[tuple]:
+        if now.real and not now.hunks:
+            yield *now.head(), *NO_LINE
+
+    while at < len(rows):
+        row = rows[at]
+        at += 1
         if row.startswith("diff --git "):
-            path, old, kind, hunk = row.rpartition(" b/")[2], "", "modified", 0
+            yield from done()
+            path = _header_path(row)
+            now = _File(path, f"a/{path}", f"b/{path}")
         elif row.startswith("new file mode"):
-            kind = "added"
+            now.kind = "added"
         elif row.startswith("deleted file mode"):
-            kind = "deleted"
+            now.kind = "deleted"
+        elif row.startswith("rename from "):
+            now.kind, now.source = "renamed", "a/" + row[12:]
         elif row.startswith("rename to "):
-            path, kind = row[10:], "renamed"
+            now.kind, now.path, now.target = "renamed", row[10:], "b/" + row[10:]
         elif row.startswith("Binary files "):
-            yield path, "binary", None, None, None, None, None, None, None, False
-        elif row.startswith("--- "):
-            old, hunk = row[4:].split("\t")[0], 0
-            kind = "added" if old == "/dev/null" else kind if kind in ("renamed", "deleted") else "modified"
-        elif row.startswith("+++ "):
-            new = row[4:].split("\t")[0]
-            kind = "deleted" if new == "/dev/null" else kind
-            path = (old if kind == "deleted" else new).removeprefix("a/" if kind == "deleted" else "b/")
+            now.binary = True
+        elif row.startswith("--- ") and at < len(rows) and rows[at].startswith("+++ "):
+            if now.hunks or not now.real:
+                yield from done()
+                now = _File()
+            now.source, now.target, now.real = row[4:].split("\t")[0], rows[at][4:].split("\t")[0], True
+            at += 1
+            if now.source == "/dev/null":
+                now.kind = "added"
+            if now.target == "/dev/null":
+                now.kind = "deleted"
+            now.path = now.source.removeprefix("a/") if now.target == "/dev/null" else now.target.removeprefix("b/")
         elif m := HUNK.match(row):
-            hunk += 1
-            source, target = int(m[1]), int(m[3])
-            left, right = int(m[2] or 1), int(m[4] or 1)
+            now.hunks += 1
+            source, target, left, right = int(m[1]), int(m[3]), int(m[2] or 1), int(m[4] or 1)
+            hunk = (*now.head(), now.hunks, m[5], source, left, target, right)
             n, cut = 0, False
-            while left > 0 or right > 0:
-                line = next(rows, None)
-                if line is None:
-                    break
+            while at < len(rows) and (left > 0 or right > 0 or rows[at].startswith("\\")):
+                line = rows[at]
+                at += 1
                 what = KINDS.get(line[:1], "context")
-                at = (None if what in ("added", "metadata") else source, None if what in ("removed", "metadata") else target)
-                source, left = source + (at[0] is not None), left - (at[0] is not None)
-                target, right = target + (at[1] is not None), right - (at[1] is not None)
+                places = (None if what in ("added", "metadata") else source, None if what in ("removed", "metadata") else target)
+                source, left = source + (places[0] is not None), left - (places[0] is not None)
+                target, right = target + (places[1] is not None), right - (places[1] is not None)
                 n += 1
                 if cut:
                     continue
                 if most is not None and seen >= most:
                     cut = True
-                    yield path, kind, hunk, m[5], n, "truncated", None, None, None, False
+                    yield *hunk, n, "truncated", None, None, None, False
                     continue
                 seen += 1
-                yield path, kind, hunk, m[5], n, what, *at, line[1:], what in ("added", "removed")
+                yield *hunk, n, what, *places, line[1:], what in ("added", "removed")
+    yield from done()
 
 
 def diff_lines(diffs: DataFrame, most: int | None = None) -> DataFrame:
     """Rows of all diffs (diff_id, diff); null diffs have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, i, b = pa.string(), pa.int32(), pa.bool_()
-        kinds = [s, s, s, i, s, i, s, i, i, s, b]
+        names, types = zip(*(x.split() for x in SCHEMA.split(", ")), strict=True)
+        kinds = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t] for t in types]
         for batch in batches:
             rows = [(k, *r) for k, d in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in parse(d or "", most)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], list(names))
 
     return diffs.select("diff_id", "diff").mapInArrow(run, SCHEMA)
+
+
+def diff_files(lines: DataFrame) -> DataFrame:
+    """One row a file: added and deleted lines, lines that count for a review, and whether the diff was cut at the cap."""
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return lines.groupBy("diff_id", "path", "source_file", "target_file", "change_type", "is_binary").agg(
+        n("added").alias("added_lines"), n("removed").alias("deleted_lines"), n("added", "removed", "context").alias("review_lines"),
+        F.count_distinct("hunk").alias("n_hunks"), (n("truncated") > 0).alias("truncated"),
+    )
+
+
+def demo(spark: SparkSession) -> DataFrame:
+    """A small diff to try things on."""
+    text = "diff --git a/shop/cart.py b/shop/cart.py\n--- a/shop/cart.py\n+++ b/shop/cart.py\n@@ -45,2 +45,5 @@ class Cart:\n     def total(self):\n         items = self.items\n+        rate = self.rate\n+        if rate = 0:\n+            return None\n"
+    return spark.createDataFrame([("demo", text)], "diff_id string, diff string")

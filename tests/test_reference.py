@@ -25,6 +25,20 @@ def test_lines_as_python(spark, text):
     assert files(spark, ("p", text)).select(T.lines(F.col("content"))).first()[0] == (text or "").splitlines()
 
 
+def test_lines_of_files_and_the_cap(spark):
+    df = files(spark, ("a.py", "x\x0cy\nz"), ("b.py", "1\n2\n3"), ("c.py", "1\n2"))
+    assert rows(C.inventory(df)) == [("a.py", "python", 2), ("b.py", "python", 3), ("c.py", "python", 2)]
+    got = C.numbered(df, 2, "cut").collect()
+    assert sorted((r.path, str(r.line), r.content, r.truncated) for r in got if r.path != "a.py") == [("b.py", "1", "1", True), ("b.py", "2", "2", True), ("b.py", "None", "cut", True), ("c.py", "1", "1", False), ("c.py", "2", "2", False)]
+
+
+def test_the_cut_note_counts_against_the_budget(spark):
+    docs = files(spark, *[(f"{i}.md", "x" * 9000) for i in range(4)], ("0.md", " \n"))
+    got = rows(C.budget(docs, [F.col("path")]))
+    third = 24_000 - 2 * (8000 + len(C.CUT_NOTE))
+    assert got == [("0.md", 1, 8000, True), ("1.md", 2, 8000, True), ("2.md", 3, third, True)]
+
+
 def test_sql_rules(spark):
     sql = "select a,\nb,\n\n-- note ((\nfrom t))\nwhere (x = 'it''s\n)"
     got = rows(C.sql_findings(C.numbered(files(spark, ("q.sql", sql), ("ok.sql", "select (1)\nfrom t")))).select("path", "line", "rule"))
@@ -42,7 +56,7 @@ def test_c_style_rules(spark):
     [
         ("a.py", "async def go(x):", ("go", "function")), ("a.py", "  def go(x):", ("go", "method")), ("a.py", "class A(B):", ("A", "class")), ("a.py", "x: int = 3", ("x", "variable")),
         ("a.py", "x == 3", None), ("b.go", "func (s *T) Run[K any](x int) {", ("Run", "method")), ("b.go", "type T struct {", ("T", "struct")), ("b.go", "var x = 1", ("x", "variable")),
-        ("c.sql", "CREATE OR REPLACE TABLE FUNCTION `p.d.f`(", ("p.d.f", "function")), ("c.sql", "drop view if exists d.v;", ("d.v", "table")), ("c.md", "def a(): pass", None),
+        ("c.sql", "CREATE OR REPLACE TABLE FUNCTION `p.d.f`(", ("p.d.f", "function")), ("c.sql", "drop view if exists d.v;", ("d.v", "table")), ("c.md", "def a(): pass", None), ("b.go", "func main() {", ("main", "function")), ("a.py", "x: int == 3", None), ("c.sql", "alter  table  t add", ("t", "table")),
     ],
 )
 def test_symbols(spark, path, line, want):
@@ -109,12 +123,16 @@ DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@ top\n
 
 
 def test_diff():
-    got = [(r[0], r[1], r[5], r[6], r[7], r[8]) for r in diffs.parse(DIFF)]
-    assert got == [
+    pick = lambda text, most=None: [(r[0], r[3], r[12], r[13], r[14], r[15]) for r in diffs.parse(text, most)]
+    assert pick(DIFF) == [
         ("x.py", "modified", "context", 1, 1, "a"), ("x.py", "modified", "removed", 2, None, "b"), ("x.py", "modified", "added", None, 2, "c"),
         ("x.py", "modified", "added", None, 3, "--- d"), ("n.sql", "added", "added", None, 1, "select 1"),
     ]
-    assert [r[5] for r in diffs.parse(DIFF, 2)] == ["context", "removed", "truncated", "truncated"]
+    assert [r[2] for r in pick(DIFF, 2)] == ["context", "removed", "truncated", "truncated"]
+    odd = "diff --git a/a b/x.go b/a b/x.go\n--- a/a b/x.go\n+++ b/a b/x.go\n@@ -1 +1 @@\n-a\n\\ No newline at end of file\n+b\n\\ No newline at end of file\n"
+    assert [r[:1] + r[2:] for r in pick(odd)] == [("a b/x.go", "removed", 1, None, "a"), ("a b/x.go", "metadata", None, None, " No newline at end of file"), ("a b/x.go", "added", None, 1, "b"), ("a b/x.go", "metadata", None, None, " No newline at end of file")]
+    moved = "diff --git a/o.py b/n.py\nsimilarity index 100%\nrename from o.py\nrename to n.py\ndiff --git a/i.png b/i.png\nBinary files a/i.png and b/i.png differ\n"
+    assert [r[:6] for r in diffs.parse(moved)] == [("n.py", "a/o.py", "b/n.py", "renamed", False, None), ("i.png", "a/i.png", "b/i.png", "binary", True, None)]
 
 
 def lineage_of(sql, record):
@@ -137,6 +155,13 @@ def test_lineage():
     assert lineage_of("alter table d.t rename column a to b, add column c int64, drop column if exists e", "column_mutation") == [("d.t", "confirmed", "a"), ("d.t", "confirmed", "c"), ("d.t", "confirmed", "e")]
 
 
+def test_lineage_of_dashed_projects_and_truncation():
+    assert lineage_of("select a from my-proj-1.d.t where b - c.d > 1", "source") == [("my-proj-1.d.t", "confirmed", None)]
+    assert lineage_of("truncate table d.t", "source") == [("d.t", "confirmed", None)]
+    assert lineage_of("merge d.t using d.s on t.a = s.a when matched then update set b = 1", "source") == [("d.t", "confirmed", None), ("d.s", "confirmed", None)]
+    assert len(L.COUNTERPARTS) == 74 and len(L.RESERVED) >= 97
+
+
 def test_source_tree_and_stream(spark, tmp_path):
     root = tmp_path / "tree"
     (root / "vendor").mkdir(parents=True)
