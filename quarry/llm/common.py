@@ -59,12 +59,18 @@ def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int, most: int = 1000) -> DataFrame:
+#: Rows of one key that may meet in one task.
+HOT_ROWS = 100_000
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int, most: int = HOT_ROWS) -> DataFrame:
     """rows joined with ``unique``, which has one row a key and tells in ``weight`` how many of the ``total`` rows have it.
 
     Keys of over ``most`` rows are broadcast, so that their rows need not meet in one task; there are fewer of them than
-    total / most, and ``most`` is raised so that this is at most ``BROADCAST_ROWS``.
+    total / most, and ``most`` is raised so that this is at most ``BROADCAST_ROWS``. The result is the join's either way.
     """
+    if total <= most:
+        return rows.join(unique, on)
     hot = unique.where(F.col(weight) > max(most, total // BROADCAST_ROWS))
     if hot.isEmpty():
         return rows.join(unique, on)
@@ -100,7 +106,7 @@ def rank_in_groups(df: DataFrame, group: str, key: str, ties: list[str], out: st
     return df.join(shift, [group, "_b"]).withColumn(out, F.row_number().over(inside) + F.col("_s")).drop("_b", "_s")
 
 
-def components(edges: DataFrame, max_rounds: int = 40, hub: int = 1000) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 40, hub: int = HOT_ROWS) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) longs; component is the smallest node reachable.
 
     Alternating star contraction: every round points the larger neighbours of a node at its smallest neighbour, then its
@@ -120,8 +126,9 @@ def components(edges: DataFrame, max_rounds: int = 40, hub: int = 1000) -> DataF
         low = low.select("u", F.least("u", "m").alias("m"), "d")
         up = both.where("v > u")
         most = max(hub, 2 * seen["n"] // BROADCAST_ROWS)
-        hubs = cut(low.where(F.col("d") > most).select("u", "m"))
-        if hubs.isEmpty():
+        # A node has no more neighbours than there are edges: below that none is a hub.
+        hubs = cut(low.where(F.col("d") > most).select("u", "m")) if seen["n"] > most else None
+        if hubs is None or hubs.isEmpty():
             large = up.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             up = up.join(F.broadcast(hubs.toDF("u", "h")), "u", "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import ann, bpe, embdedup, mixing, sharding, simhash, toxicity, urlfilter
+from quarry.llm import ann, bpe, common, embdedup, mixing, sharding, simhash, toxicity, urlfilter
 from quarry.llm.queries import vocabulary_file
 
 DOCS = "doc_id long, text string, source string, slot string"
@@ -104,6 +104,25 @@ def components(n, links):
     return label
 
 
+def test_components_with_hubs(spark):
+    r = random.Random(9)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(12)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(59, 100), (3, 3), (None, 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    index = sorted({x for e in edges for x in e if x is not None})
+    label = components(len(index), [(index.index(a), index.index(b)) for a, b in edges if a is not None])
+    want = {(index[i], index[c]) for i, c in enumerate(label) if i != c}
+    for hub in (5, 10**9):
+        got = {tuple(x) for x in common.components(df, hub=hub).collect()}
+        assert {g for g in got if g[0] != g[1]} == want
+
+
+def test_hot_keys_join_alike(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 0, i) for i in range(100)] + [(None, 1)], "k long, i long")
+    unique = rows.groupBy("k").count().where("k is not null")
+    a, b = (common.join_hot(rows, unique, ["k"], "count", 101, most=m) for m in (10, 1000))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.columns == b.columns
+
+
 def check_simhash(spark, docs, **options):
     fp = [brute_print(d[1]) for d in docs]
     links = [(i, j) for i in range(len(docs)) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= 4]
