@@ -196,6 +196,8 @@ def _compare(points: DataFrame, lanes: list[str], radius: int, block: int) -> Da
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+#: Sets of one key that meet in a task, and about as many shingles; more are dealt to blocks.
+SETS_BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Tables of the near-copy search and minima in the key of each.
 TABLES, MINIMA = 30, 5
 MULTIPLIERS = np.random.default_rng(19).integers(0, 1 << 63, TABLES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,21 +222,22 @@ def table_keys(h: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(r.tobytes()) for r in rows], np.uint32)
 
 
-def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, block: int = SETS_BLOCK) -> DataFrame:
     """(key, component_id) of every row: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
 
     64 bits and a radius that the exact grid allows tell copies from texts with two or three words changed, so this
     search compares the sets of shingles (as 64-bit hashes). Sets are candidates where they share the key of one of
     ``TABLES`` tables; a pair at similarity s shares none with probability (1 - s ** MINIMA) ** TABLES, 7e-6 at 0.8,
     whatever the number of rows. Every link is decided on the two whole sets. Equal sets are one set throughout. The
-    sets of a key are first compared with two of them, and then each with all that are still in other components.
+    sets of a key are first compared with two of them; where that leaves several components, all sets of the key meet in
+    blocks of ``block``, and what comes out is a link for each two components that join, not the pairs.
     Nulls, empty texts, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    prints, groups, links = _similar(docs, key, text, words, similarity)
+    prints, groups, links = _similar(docs, key, text, words, similarity, block)
     return _named(prints, groups, links, key, [])
 
 
-def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float, block: int = SETS_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Prints of all rows, one group for each print with its first row (least key, then md5), and links of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,25 +284,67 @@ def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float
     found = _alike(star, texts, words, similarity)
     named = _grouped(groups, found).select(F.col("_fp").alias("id"), "_c")
     points = points.select("p", "id", "size").join(named, "id")
-    mixed = points.groupBy("p").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("p")
-    across = points.join(mixed, "p").select("p", "_c", "id", "size").repartition(n, "p").sortWithinPartitions("p", "_c")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, *columns in _by_point(batches):
-            cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True]).tolist()
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                yield from crossing(*[c[s:e] for c in columns])
-
-    def crossing(c: np.ndarray, ids: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        later = np.searchsorted(c, c, side="right")
-        for i in np.flatnonzero(later < len(c)).tolist():  # pairs of unlike components only
-            z, other = size[later[i] :], ids[later[i] :]
-            other = other[fits(z, size[i])]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, ids[i])), pa.array(np.minimum(other, ids[i]))], ["a", "b"])
-
-    rest = common.cut(across.mapInArrow(pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
-    return prints, groups, found.union(_alike(rest, texts, words, similarity))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    mixed = points.groupBy("p").agg(F.min("_c").alias("x"), F.max("_c").alias("y"), blocks.alias("m"))
+    across = points.join(mixed.where("x <> y").select("p", "m"), "p").join(texts.toDF("id", "t"), "id")
+    across = across.withColumns({"mine": F.pmod(F.xxhash64("id"), "m"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))})
+    across = across.select("p", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "_c", "id", "t")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, rows = None, []
+        for b in batches:
+            numbers = zip(*(c.to_pylist() for c in b.columns[:6]), strict=True)
+            for (p, x, y, *row), t in zip(numbers, b.column(6), strict=True):
+                if point != (p, x, y):
+                    yield from links(rows)
+                    point, rows = (p, x, y), []
+                rows.append((*row, shingle_set(t.as_py(), words)))
+        yield from links(rows)
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len({r[1] for r in rows}) > 1:
+            mine, c, ids, sets = zip(*rows, strict=True)
+            i, j = join_sets(sets, np.array(c), similarity, np.array(mine))
+            ids = np.array(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], ["a", "b"])
+
+    rest = across.repartition(n, "p", "x", "y").sortWithinPartitions("p", "x", "y").mapInArrow(meet, "a long, b long")
+    return prints, groups, found.union(common.cut(rest))
+
+
+def join_sets(sets: tuple[np.ndarray, ...], label: np.ndarray, similarity: float, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets of the similarity that join what has unlike labels, no more than labels; with two sides, only across them."""
+    n, size = len(sets), np.array([len(x) for x in sets], float)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), size.astype(int)), many > 1  # what one set has alone is in no intersection
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    same = np.zeros((n, n))
+    width = max(1, min(int(shared.sum()), (1 << 22) // n))
+    for s in range(0, int(shared.sum()), width):
+        at = slice(*np.searchsorted(column, [s, s + width]))
+        has = np.zeros((n, width), np.float32)
+        has[row[at], column[at] - s] = 1
+        same += has @ has.T
+    near = same >= similarity * (size[:, None] + size[None] - same) - 1e-9
+    if len(np.unique(side)) > 1:
+        near &= side[:, None] != side[None]
+    i, j = np.nonzero(np.triu(near, 1))
+    label = np.unique(label, return_inverse=True)[1]
+    out = [(i[:0], i[:0])]
+    while True:
+        unlike = label[i] != label[j]
+        i, j = i[unlike], j[unlike]
+        if not len(i):
+            return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        top, first = np.unique(np.maximum(label[i], label[j]), return_index=True)  # each hangs on a smaller one: no circles
+        to = np.arange(label.max() + 1)
+        to[top] = np.minimum(label[i[first]], label[j[first]])
+        while (to[to] != to).any():
+            to = to[to]
+        out.append((i[first], j[first]))
+        label = to[label]
 
 
 def _by_point(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:

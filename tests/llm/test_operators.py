@@ -184,6 +184,36 @@ def test_similar_texts_are_decided_by_whole_sets(spark):
     assert simhash.similar_texts(table(spark, [])).count() == 0
 
 
+def test_one_large_group_of_texts_on_both_sides_of_the_similarity(spark):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(None, None, "a", None)]
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(1, 7)):
+            w[r.randrange(150)] = f"x{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(w), "a", None))
+    sets = [{tuple(d[1].split()[i : i + 5]) for i in range(len(d[1].split()) - 4)} for d in rows[1:]]
+    links = [(i, j) for i in range(150) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = [*enumerate(components(150, links)), (None, None)]
+    assert 20 < len({c for _, c in want}) < 140
+    for block in (1024, 20):
+        assert sorted(map(tuple, simhash.similar_texts(table(spark, rows), block=block).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("two_sides", [False, True])
+def test_join_sets(two_sides):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 12, r.integers(1, 12)).astype(np.uint64)) for _ in range(60)]
+    label, side = r.integers(0, 40, 60) * 7, r.integers(0, 1 + two_sides, 60)
+    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) and (not two_sides or side[i] != side[j])
+    same = [(i, j) for i in range(60) for j in range(i) if label[i] == label[j]]
+    i, j = simhash.join_sets(tuple(sets), label, 0.8, side)
+    assert len(i) and all(alike(*x) for x in zip(i, j)) and len(i) < len(set(label))
+    links = [(i, j) for i in range(60) for j in range(i) if alike(i, j)]
+    assert components(60, [*same, *zip(i.tolist(), j.tolist())]) == components(60, [*same, *links])
+
+
 def test_keep_one_keeps_a_row_of_each_component(spark):
     r = random.Random(8)
     words = lambda n: " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))
