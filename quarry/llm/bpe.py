@@ -22,10 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import give_back
+
 #: Words kept by a partition; beyond it the memory is emptied and filled anew.
 MEMORY_WORDS = 200_000
 #: Characters of text whose new words are merged together.
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 21
+#: Words of a group that are held as Python strings at once, and those of one more text.
+PACKED_WORDS = 1 << 16
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
 
@@ -199,19 +203,24 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None], size: int = GROUP_CHARS) -> Iterator[tuple[list[bytes], list[bytes]]]:
         """For a group of texts after another: their ids, in decimal, joined by a space; their tokens, joined by a space."""
+        packed: list[pa.Array] = []
         flat: list[str] = []
         offsets, chars = [0], 0
         for t in texts:
-            flat += self.words(t or "")
-            offsets.append(len(flat))
+            words = self.words(t or "")
+            flat += words
+            offsets.append(offsets[-1] + len(words))
             chars += len(t or "")
+            if len(flat) > PACKED_WORDS or chars > size:  # a word in a list takes ten times the memory
+                packed.append(pa.array(flat, pa.string()))
+                flat = []
             if chars > size:
-                yield self._encode(flat, offsets)
-                flat, offsets, chars = [], [0], 0
-        yield self._encode(flat, offsets)
+                yield self._encode(packed, offsets)
+                packed, offsets, chars = [], [0], 0
+        yield self._encode([*packed, pa.array(flat, pa.string())], offsets)
 
-    def _encode(self, flat: list[str], offsets: list[int]) -> tuple[list[bytes], list[bytes]]:
-        coded = pa.array(flat, pa.string()).dictionary_encode()
+    def _encode(self, packed: list[pa.Array], offsets: list[int]) -> tuple[list[bytes], list[bytes]]:
+        coded = pa.concat_arrays(packed).dictionary_encode()
         used = coded.dictionary.to_pylist()
         new = [w for w in used if w not in self.known]
         if len(self.known) + len(new) > MEMORY_WORDS:
@@ -220,10 +229,12 @@ class Encoder:
         self.learn(new)
         out = []
         for memo in (self.known, self.decoded):
+            values = list(map(memo.__getitem__, used))
             if self.empty:
-                out.append([b" ".join(filter(None, map(memo.__getitem__, flat[a:b]))) for a, b in zip(offsets, offsets[1:], strict=False)])
+                at = coded.indices.to_numpy()
+                out.append([b" ".join(filter(None, map(values.__getitem__, at[a:b].tolist()))) for a, b in zip(offsets, offsets[1:], strict=False)])
             else:
-                taken = pa.array(list(map(memo.__getitem__, used)), pa.binary()).take(coded.indices)
+                taken = pa.array(values, pa.binary()).take(coded.indices)
                 out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken), b" ").to_pylist())
         return out[0], out[1]
 
@@ -264,6 +275,6 @@ def _runner(spec, keys: list[str], full: bool) -> Callable:
                     columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.binary()).cast(pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     return run
