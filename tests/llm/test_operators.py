@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -379,3 +380,22 @@ def test_bpe(spark, docs):
         assert (g.n_tokens, g.ids, g.decoded) == (len(ids), ids, text)
         assert g.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and g.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_decode(table(spark, []), vocabulary_file(), ["doc_id"]).count() == 0
+
+
+def test_bpe_groups(docs, monkeypatch):
+    """Groups and packed pieces of any size give the same, on the way of words without a piece too."""
+    with open(vocabulary_file(), encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    texts = [d[1] for d in docs]
+
+    def alone(text):
+        encoder = bpe.Encoder(vocabulary)
+        words = encoder.words(text or "")
+        return tuple(side[0] for side in encoder._encode([pa.array(words, pa.string())], [0, len(words)]))
+
+    want = [alone(t) for t in texts]
+    for words, size, empty in ((0, 1 << 21, False), (7, 1 << 21, True), (7, 50, False), (1 << 16, 1, True)):
+        monkeypatch.setattr(bpe, "PACKED_WORDS", words)
+        encoder = bpe.Encoder(vocabulary)
+        encoder.empty = empty
+        assert [row for ids, decoded in encoder.encode(texts, size) for row in zip(ids, decoded, strict=True)] == want
