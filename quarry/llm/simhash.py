@@ -6,6 +6,9 @@ fingerprints within ``radius`` bits, one half's vectors lie within radius // 2,
 half of that of both. Every fingerprint is put on the grid points of each half within that reach; fingerprints that
 share a point are compared exactly. Copies are one fingerprint throughout, and a point gives a forest of its links, not
 all pairs.
+
+Texts of a Jaccard similarity have longer fingerprints, as their bits differ more. Points are then the popcounts of a
+few segments, many times over, and what lies near by Hamming distance is decided on the texts' whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -87,31 +90,43 @@ def grid_points(fp: np.ndarray, reach: int = 1) -> tuple[np.ndarray, np.ndarray]
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bits that differ, of fingerprints as rows of unsigned words."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for w in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., w] ^ b[..., w])
+    return out
+
 
+def forest(fp: np.ndarray, radius: int, side: np.ndarray | None = None, until: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join what is connected within ``radius`` bits, one less than members; with side, only across sides.
 
-def forest(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that join what is connected within ``radius`` bits, one less than members; with side, only across sides."""
+    With until (ascending), fingerprint i need not be compared with those from until[i] on.
+    """
     label = np.arange(len(fp))
     step = max(1, min(len(fp), (1 << 18) // len(fp)))
     for s in range(0, len(fp), step):
-        near = apart(fp[s : s + step, None, :], fp[None, s:, :]) <= radius
+        end = len(fp) if until is None else int(until[min(s + step, len(fp)) - 1])
+        near = apart(fp[s : s + step, None, :], fp[None, s:end, :]) <= radius
         if side is not None:
-            near &= side[s : s + step, None] != side[None, s:]
+            near &= side[s : s + step, None] != side[None, s:end]
         i, j = np.nonzero(near)
-        i, j = i[j > i] + s, j[j > i] + s
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            top = np.maximum(label[i], label[j])
-            if (low == top).all():
-                break
-            np.minimum.at(label, top, low)
-            while (label[label] != label).any():
-                label = label[label]
+        label = united(label, i[j > i] + s, j[j > i] + s)
     child = np.flatnonzero(label != np.arange(len(fp)))
     return label[child], child
 
 
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least members of the sets with these least members, after those of i and j are joined."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        top = np.maximum(label[i], label[j])
+        if (low == top).all():
+            break
+        np.minimum.at(label, top, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, block: int = POINT_BLOCK) -> DataFrame:
     """One row per row of docs: key, fingerprint (16 hex digits), component_id.
 
@@ -198,9 +213,29 @@ def _compare(points: DataFrame, lanes: list[str], radius: int, block: int) -> Da
 
 #: Sets of one key that meet in a task, and about as many shingles; more are dealt to blocks.
 SETS_BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Tables of the near-copy search and minima in the key of each.
-TABLES, MINIMA = 30, 5
-MULTIPLIERS = np.random.default_rng(19).integers(0, 1 << 63, TABLES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of a long fingerprint: those that are cut into segments for the tables, then those of the Hamming check.
+TABLE_WORDS, CHECK_WORDS = 16, 2
+SALTS = np.random.default_rng(19).integers(0, 1 << 63, TABLE_WORDS + CHECK_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Tables of the near-copy search and segments in the point of each; small sets, whose bits differ more, have fewer.
+TABLES, SEGMENTS, SMALL_SEGMENTS = 200, 9, 6
+#: Sets of up to so many shingles are small; a set up to 1 / similarity times as large meets them too.
+SMALL_SET = 16
+#: By how much more small sets' bits may differ: 4 shingles of 5 differ in 3 bits of 16, the angle of large sets gives 0.1515.
+SMALL_MORE = 0.036
+#: Fingerprints of one cell (a table's point) that are compared in one task, and parts of a table at least.
+CELL, PARTS = 1 << 15, 8
+#: Links that are joined to a forest in one task, about.
+FOREST = 1_000_000
+#: What a cell is told of a set: point, size on a scale of logarithms, words of the Hamming check.
+RECORD = np.dtype([("p", "<u2"), ("s", "<u2"), ("w", "<u8", CHECK_WORDS)])
+
+
+def table_weights(segments: int) -> np.ndarray:
+    """Powers of three for the segments of each table; popcounts times these are the points."""
+    out, r = np.zeros((TABLE_WORDS * 32, TABLES), np.float32), np.random.default_rng(23)
+    for t in range(TABLES):
+        out[r.choice(len(out), SEGMENTS, replace=False)[:segments], t] = 3.0 ** np.arange(segments)
+    return out
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -213,45 +248,214 @@ def set_id(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)) if len(h) else 0
 
 
-def table_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each table: the least of the set under each of the table's orders. Two sets share it at similarity ** MINIMA."""
-    low = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 1024):
-        np.minimum(low, (MULTIPLIERS[:, None] * h[None, k : k + 1024]).min(axis=1), out=low)
-    rows = np.hstack([low.reshape(TABLES, MINIMA), np.arange(TABLES, dtype=np.uint64)[:, None]])
-    return np.array([xxhash.xxh32_intdigest(r.tobytes()) for r in rows], np.uint32)
+def long_print(h: np.ndarray) -> np.ndarray:
+    """Words of the SimHash of a set of shingles, a bit set in over half of them; the first shingle decides where halves are even."""
+    count = np.zeros(64 * len(SALTS), np.int64)
+    for k in range(0, len(h), 255):
+        x = h[k : k + 255, None] + SALTS
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        if not k:
+            first = bits[0]
+        count += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * count + first > len(h), bitorder="little").view(np.uint64)
+
+
+def differing(similarity: float) -> float:
+    """Share of bits that differ between large sets of a similarity, of equal size: where sizes differ, it is less."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, block: int = SETS_BLOCK) -> DataFrame:
+def bits_within(share: float) -> int:
+    """Radius of the Hamming check for pairs with that share of differing bits: 4.6 standard deviations above the mean."""
+    n = 64 * CHECK_WORDS
+    return int(n * share + 4.6 * (n * share * (1 - share)) ** 0.5)
+
+
+def cells(words: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(table, records) of sets with these long fingerprints; sets of a middle size have a small and a large point."""
+    weights = [table_weights(SMALL_SEGMENTS), table_weights(SEGMENTS)]
+    is_small, is_large = size <= SMALL_SET / similarity + 1e-9, size > SMALL_SET
+    bits = np.unpackbits(np.ascontiguousarray(words[:, :TABLE_WORDS]).view(np.uint8), axis=1, bitorder="little")
+    counts = (bits[:, ::2] + bits[:, 1::2]).astype(np.float32)
+    small, large = counts[is_small] @ weights[0] + 3**SEGMENTS, counts[is_large] @ weights[1]
+    out = np.zeros(len(small) + len(large), RECORD)
+    scale = np.log(np.concatenate([size[is_small], size[is_large]])) / np.log(1.01 / similarity)
+    out["s"] = scale.astype(np.uint16)
+    out["w"] = np.concatenate([words[is_small], words[is_large]])[:, TABLE_WORDS:]
+    for t in range(TABLES):
+        out["p"] = np.concatenate([small[:, t], large[:, t]])
+        yield t, out
+
+
+def cell_links(found: np.ndarray, similarity: float, cell: int = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of fingerprints that are near in a cell, and records of cells of over ``cell``.
+
+    What is connected hangs on its least word: many cells of one group then have few different links.
+    """
+    found = found[np.lexsort((found["s"], found["p"]))]
+    p, s, w = found["p"], found["s"].astype(np.int16), found["w"]
+    cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
+    many = np.diff(cuts)
+    end, few = cuts[1:].repeat(many), (many <= 32).repeat(many)
+    radius = np.where(p >= 3**SEGMENTS, bits_within(differing(similarity) + SMALL_MORE), bits_within(differing(similarity))).astype(np.int16)
+    out, i = [(cuts[:0], cuts[:0])], np.flatnonzero(few)
+    for lag in range(1, 32):  # small cells all at once; sizes ascend in a cell
+        i = i[i + lag < end[i]]
+        i = i[s[i + lag] <= s[i] + 1]
+        near = i[apart(w[i], w[i + lag]) <= radius[i]]
+        out.append((near, near + lag))
+    large = (many > 32) & (many <= cell)
+    for a, b in zip(cuts[:-1][large].tolist(), cuts[1:][large].tolist(), strict=True):
+        i, j = forest(w[a:b], int(radius[a]), until=np.searchsorted(s[a:b], s[a:b] + 1, "right"))
+        out.append((a + i, a + j))
+    x, y = hung(w[:, 0], *(np.concatenate(c) for c in zip(*out, strict=True)))
+    return x, y, found[(many > max(cell, 32)).repeat(many)]
+
+
+def hung(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the least name of what index pairs connect to its other names."""
+    name, at = np.unique(names[np.concatenate([i, j])], return_inverse=True)
+    label = united(np.arange(len(name)), at[: len(i)], at[len(i) :])
+    child = np.flatnonzero(label != np.arange(len(name)))
+    return name[label[child]], name[child]
+
+
+def _near(groups: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """(a, b): first check words of groups whose long fingerprints are near by Hamming distance and share a cell.
+
+    What a chunk of groups has in a part of a table is one row. Cells of over ``cell`` records come out as they are and are
+    dealt to blocks, of which every two meet.
+    """
+    spark, n = groups.sparkSession, common.partitions(groups.sparkSession)
+    parts = max(PARTS, -(-groups.count() // 200_000))
+    chunk = min(8192, 256 * parts)
+    least = similarity / (1 - similarity) - 1e-9 if similarity < 1 else float("inf")  # a smaller set is similar to no other
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, chunk):
+                size, prints = b.slice(k, chunk).columns
+                words = np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(size), -1)
+                at, blobs = [], []
+                for t, records in cells(words, size.to_numpy(zero_copy_only=False), similarity):
+                    part = (records["p"].astype(np.int64) * 40503 >> 8) % parts
+                    order = np.argsort(part, kind="stable")
+                    ends = np.searchsorted(part[order], np.arange(parts + 1))
+                    held = records[order]
+                    some = np.flatnonzero(np.diff(ends))
+                    at += (t * parts + some).tolist()
+                    blobs += [held[ends[q] : ends[q + 1]].tobytes() for q in some]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["at", "records"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            for at, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at != last:
+                    yield from near(last, held)
+                    last, held = at, []
+                held.append(blob)
+        yield from near(last, held)
+
+    def near(at: int | None, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if blobs:
+            x, y, crowded = cell_links(np.frombuffer(b"".join(blobs), RECORD), similarity, cell)
+            yield batch(x, y, None, None)
+            for k in range(0, len(crowded), cell):
+                r = crowded[k : k + cell]
+                yield batch(r["w"][:, 0], r["w"][:, 1], at // parts * 65536 + r["p"].astype(np.int64), r["s"].astype(np.int32))
+
+    def batch(a: np.ndarray, b: np.ndarray, p: np.ndarray | None, s: np.ndarray | None) -> pa.RecordBatch:
+        rest = [pa.nulls(len(a), kind) if x is None else pa.array(x, kind) for x, kind in ((p, pa.int64()), (s, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)), *rest], ["a", "b", "p", "s"])
+
+    rows = groups.where(F.col("_size") >= least).select("_size", "_print").mapInArrow(spread, "at int, records binary")
+    dealt = rows.repartition(n, "at").sortWithinPartitions("at")
+    got = common.cut(dealt.mapInArrow(meet, "a long, b long, p long, s int").distinct())
+    links, crowded = got.where("p is null").select("a", "b"), got.where("p is not null")
+    blocks = crowded.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / cell).alias("m"))
+    crowded = crowded.join(blocks, "p").withColumns({"mine": F.pmod(F.xxhash64("a", "b"), "m"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))})
+    crowded = crowded.select("p", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "s", "a", "b")
+
+    def blocks_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
+            cuts = [0, *new.tolist(), b.num_rows] if b.num_rows else []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                at = tuple(x[i] for x in c[:3])
+                if at != last:
+                    yield from joined(held)
+                    last, held = at, []
+                held.append([x[i:j] for x in c])
+        yield from joined(held)
+
+    def joined(held: list) -> Iterator[pa.RecordBatch]:
+        if held:
+            p, x, y, mine, s, a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            o = np.argsort(s, kind="stable")
+            share = differing(similarity) + SMALL_MORE * bool(p[0] % 65536 >= 3**SEGMENTS)
+            i, j = forest(np.stack([a, b], 1).view(np.uint64)[o], bits_within(share), mine[o] if x[0] != y[0] else None, np.searchsorted(s[o], s[o] + 1, "right"))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in hung(a, o[i], o[j])], ["a", "b"])
+
+    if crowded.isEmpty():
+        return _forests(links)
+    met = crowded.repartition(n, "p", "x", "y").sortWithinPartitions("p", "x", "y").mapInArrow(blocks_meet, "a long, b long")
+    return _forests(links.union(common.cut(met.distinct())))
+
+
+def _forests(links: DataFrame) -> DataFrame:
+    """As many of the links (a, b) as join the same: a forest of each ``FOREST`` of them, so that a group of n has few times n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
+        if held:
+            names, n = np.concatenate(held, axis=1), sum(x.shape[1] for x in held)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in hung(names.ravel(), np.arange(n), np.arange(n, 2 * n))], ["a", "b"])
+
+    return common.cut(links.coalesce(-(-links.count() // FOREST) or 1).mapInArrow(run, "a long, b long"))
+
+
+def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, block: int = SETS_BLOCK, cell: int = CELL) -> DataFrame:
     """(key, component_id) of every row: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
 
-    64 bits and a radius that the exact grid allows tell copies from texts with two or three words changed, so this
-    search compares the sets of shingles (as 64-bit hashes). Sets are candidates where they share the key of one of
-    ``TABLES`` tables; a pair at similarity s shares none with probability (1 - s ** MINIMA) ** TABLES, 7e-6 at 0.8,
-    whatever the number of rows. Every link is decided on the two whole sets. Equal sets are one set throughout. The
-    sets of a key are first compared with two of them; where that leaves several components, all sets of the key meet in
-    blocks of ``block``, and what comes out is a link for each two components that join, not the pairs.
+    The bits of two fingerprints differ with a probability that follows from the similarity, 0.1515 at 0.8, which is more
+    than the exact grid of 64 bits allows. So each set has a SimHash of 18 words, and the popcounts of nine 2-bit segments
+    are its point in each of ``TABLES`` tables, 9e-5 of the pairs at 0.8 sharing none, whatever the number of rows. Sets of
+    up to ``SMALL_SET`` shingles, whose bits differ by up to 0.1875, have points of six segments. Those that share a point
+    and are within the radius of ``bits_within`` in two words of their own are near, and every link is decided on the two
+    whole sets among what is connected by nearness. Equal sets are one set throughout. The sets of such a group are first
+    compared with two of them; where that leaves several components, all sets of the group meet in blocks of ``block``, and
+    what comes out is a link for each two components that join, not the pairs.
     Nulls, empty texts, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    prints, groups, links = _similar(docs, key, text, words, similarity, block)
+    prints, groups, links = _similar(docs, key, text, words, similarity, block, cell)
     return _named(prints, groups, links, key, [])
 
 
-def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float, block: int = SETS_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float, block: int = SETS_BLOCK, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Prints of all rows, one group for each print with its first row (least key, then md5), and links of groups."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity above 0, up to 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = (shingle_set(t.as_py(), words) for t in b.column(1))
-            got = [(set_id(h), len(h), table_keys(h).tobytes() if len(h) else b"") for h in sets]
-            fp, size, keys = (list(c) for c in zip(*got, strict=True)) if got else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.binary())], ["_k", "_md5", "_fp", "_size", "_keys"])
+            got = [(set_id(h), len(h), long_print(h) if len(h) else none) for h in sets]
+            fp, size, long = (list(c) for c in zip(*got, strict=True)) if got else ([], [], [])
+            near, long = pa.array([int(x[TABLE_WORDS].view(np.int64)) for x in long], pa.int64()), pa.array([x.tobytes() for x in long], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), near, long], ["_k", "_md5", "_fp", "_size", "_near", "_print"])
 
+    none = np.zeros(len(SALTS), np.uint64)
     kind = docs.schema[key].dataType.simpleString()
     md5 = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    prints = common.cut(docs.select(key, text, md5).mapInArrow(run, f"_k {kind}, _md5 string, _fp long, _size int, _keys binary"))
+    prints = common.cut(docs.select(key, text, md5).mapInArrow(run, f"_k {kind}, _md5 string, _fp long, _size int, _near long, _print binary"))
     first = F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_md5"))
-    groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep"), F.count(F.lit(1)).alias("_m"), first.alias("_first"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")))
+    of_set = [F.first(c).alias(c) for c in ("_size", "_near", "_print")]
+    groups = common.cut(prints.groupBy("_fp").agg(F.min("_k").alias("_rep"), F.count(F.lit(1)).alias("_m"), first.alias("_first"), *of_set))
 
     def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
@@ -260,21 +464,15 @@ def _similar(docs: DataFrame, key: str, text: str, words: int, similarity: float
         cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
         many = np.diff(cuts)
         out = []
-        for order in (ids, (ids.view(np.uint64) * MULTIPLIERS[0]).view(np.int64)):  # two members of each point to compare with
+        for order in (ids, (ids.view(np.uint64) * SALTS[0]).view(np.int64)):  # two members of each point to compare with
             at = np.lexsort((order, p))[cuts[:-1]].repeat(many)
             out.append(np.where(fits(size, size[at]), ids[at], ids))
         more = many.repeat(many) > 1
         yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (p, ids, size, *out)], ["p", "id", "size", "n0", "n1"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                fp, size, keys = b.slice(k, 4096).columns
-                points = np.frombuffer(b"".join(keys.to_pylist()), np.uint32).astype(np.int64) | np.tile(np.arange(TABLES, dtype=np.int64) << 32, len(fp))
-                many = [np.repeat(c.to_numpy(zero_copy_only=False), TABLES) for c in (fp, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (points, *many)], ["p", "id", "size"])
-
-    points = groups.where("_size > 0").select("_fp", "_size", "_keys").mapInArrow(spread, "p long, id long, size int")
+    near = common.components(_near(groups, similarity, cell))
+    points = groups.where("_size > 0").join(near, groups["_near"] == near["node"], "left")
+    points = points.select(F.coalesce("component", "_near").alias("p"), F.col("_fp").alias("id"), F.col("_size").alias("size"))
     n = common.partitions(docs.sparkSession)
     dealt = points.repartition(n, "p").sortWithinPartitions("p")
     points = common.cut(dealt.mapInArrow(lambda batches: (r for g in _by_point(batches) for r in centres(*g)), "p long, id long, size int, n0 long, n1 long"))

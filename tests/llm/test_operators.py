@@ -202,6 +202,110 @@ def test_one_large_group_of_texts_on_both_sides_of_the_similarity(spark):
         assert sorted(map(tuple, simhash.similar_texts(table(spark, rows), block=block).collect()), key=str) == sorted(want, key=str)
 
 
+def test_long_print_is_a_majority_of_bits():
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % 2**64
+        return x ^ x >> 31
+
+    r = np.random.default_rng(3)
+    for n in (1, 2, 4, 7, 255, 256, 700):
+        h = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        for salt, word in zip(simhash.SALTS.tolist(), simhash.long_print(h).tolist()):
+            own = [mixed((x + salt) % 2**64) for x in h.tolist()]
+            assert word == sum((2 * sum(x >> k & 1 for x in own) + (own[0] >> k & 1) > len(own)) << k for k in range(64))
+
+
+@pytest.mark.parametrize("shared, left, right", [(4, 0, 1), (8, 1, 1), (16, 0, 4), (17, 1, 3), (18, 2, 2), (320, 40, 40), (320, 0, 80)])
+def test_sets_at_the_similarity_meet_in_a_cell(shared, left, right):
+    r = np.random.default_rng(shared + left)
+    prints, sizes = [], []
+    for _ in range(60):
+        x = r.integers(0, 2**64, shared + left + right, dtype=np.uint64)
+        for h in (np.unique(x[: shared + left]), np.unique(np.r_[x[:shared], x[shared + left :]])):
+            prints.append(simhash.long_print(h))
+            sizes.append(len(h))
+    words = np.stack(prints)
+    share = np.bitwise_count(words[::2] ^ words[1::2]).sum() / (60 * 64 * words.shape[1])
+    assert 0.1 < share < simhash.differing(0.8) + simhash.SMALL_MORE * (shared <= 16) + 0.01
+    found = set()
+    for _, records in simhash.cells(words, np.array(sizes), 0.8):
+        a, b, crowded = simhash.cell_links(records, 0.8)
+        found |= {frozenset(x) for x in zip(a.tolist(), b.tolist())}
+        assert not len(crowded)
+    near = words[:, simhash.TABLE_WORDS].tolist()
+    assert sum(frozenset(near[i : i + 2]) in found for i in range(0, 120, 2)) >= 59 and len(found) < 70
+
+
+def test_points_are_popcounts_of_segments():
+    r = np.random.default_rng(7)
+    words = r.integers(0, 2**64, (50, len(simhash.SALTS)), dtype=np.uint64)
+    sizes = np.array([5, 18, 300, 20, 21] * 10)
+    for t, records in simhash.cells(words, sizes, 0.8):
+        if t % 50 == 0:
+            want = []
+            for segments, rows in ((6, sizes <= 20), (9, sizes > 16)):
+                weights = simhash.table_weights(segments)[:, t].astype(int).tolist()
+                assert sum(w > 0 for w in weights) == segments
+                for w in words[rows, : simhash.TABLE_WORDS]:
+                    bits = [x >> k & 1 for x in w.tolist() for k in range(64)]
+                    want.append(sum(x * (bits[2 * k] + bits[2 * k + 1]) for k, x in enumerate(weights) if x) + 3**9 * (segments == 6))
+            assert records["p"].tolist() == want
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 40])
+def test_cell_links_brute_force(cell):
+    r = np.random.default_rng(11)
+    records = np.zeros(400, simhash.RECORD)
+    records["p"] = r.choice([1, 2, 3, 4, 3**9 + 5], 400, p=[0.5, 0.3, 0.05, 0.05, 0.1])
+    records["s"] = r.integers(8, 10, 400)
+    base = r.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    flips = np.packbits(r.random((400, 128)) < 0.14, axis=1).view(np.uint64)
+    records["w"] = base[r.integers(0, 40, 400)] ^ flips
+    a, b, crowded = simhash.cell_links(records, 0.8, cell)
+    per = {p: int((records["p"] == p).sum()) for p in set(records["p"].tolist())}
+    left = {p for p, n in per.items() if n > cell}
+    assert bool(left) == (cell == 40) and sorted(set(crowded["p"].tolist())) == sorted(left) and len(crowded) == sum(per[p] for p in left)
+    near = lambda i, j: np.bitwise_count(records["w"][i] ^ records["w"][j]).sum() <= simhash.bits_within(simhash.differing(0.8) + simhash.SMALL_MORE * (records["p"][i] > 3**9))
+    links = [(i, j) for i in range(400) for j in range(i) if records["p"][i] == records["p"][j] and records["p"][i] not in left and near(i, j)]
+    at = {w: i for i, w in enumerate(records["w"][:, 0].tolist())}
+    assert len(at) == 400 and components(400, [(at[x], at[y]) for x, y in zip(a.tolist(), b.tolist())]) == components(400, links)
+
+
+def test_crowded_cells_are_dealt_to_blocks(spark):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(150)] = f"x{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(w), "a", None))
+    sets = [simhash.shingle_set(x[1], 5) for x in rows]
+    words, sizes = np.stack([simhash.long_print(x) for x in sets]), np.array([len(x) for x in sets])
+    assert any(len(simhash.cell_links(records, 0.8, 33)[2]) for _, records in simhash.cells(words, sizes, 0.8))
+    links = [(i, j) for i in range(150) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    assert sorted(map(tuple, simhash.similar_texts(table(spark, rows), cell=20).collect())) == list(enumerate(components(150, links)))
+
+
+def test_forests_join_the_same(spark, monkeypatch):
+    r = random.Random(13)
+    edges = [(r.randint(0, 30), r.randint(0, 30)) for _ in range(300)] + [(100 + r.randint(0, 40), 100 + r.randint(0, 40)) for _ in range(25)]
+    label = components(150, edges)
+    for size, most in ((10**6, 75), (100, 300)):
+        monkeypatch.setattr(simhash, "FOREST", size)
+        got = [tuple(x) for x in simhash._forests(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()]
+        assert components(150, got) == label and len(got) < most
+    assert simhash._forests(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_the_stage_come_from_fingerprints(spark, monkeypatch):
+    rows = [(1, "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a", None), (2, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1", "a", None)]
+    assert [x.doc_id for x in simhash.keep_one(table(spark, rows)).collect()] == [1]
+    monkeypatch.setattr(simhash, "_near", lambda groups, *_: groups.select(groups["_near"].alias("a"), groups["_near"].alias("b")).limit(0))
+    assert sorted(x.doc_id for x in simhash.keep_one(table(spark, rows)).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("two_sides", [False, True])
 def test_join_sets(two_sides):
     r = np.random.default_rng(5)
