@@ -218,6 +218,8 @@ TABLE_WORDS, CHECK_WORDS = 16, 2
 SALTS = np.random.default_rng(19).integers(0, 1 << 63, TABLE_WORDS + CHECK_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Tables of the near-copy search and segments in the point of each; small sets, whose bits differ more, have fewer.
 TABLES, SEGMENTS, SMALL_SEGMENTS = 200, 9, 6
+#: Tables that are met first; in the others a set goes by the name of what these join, and only links of unlike names are left.
+FIRST_TABLES = 16
 #: Sets of up to so many shingles are small; a set up to 1 / similarity times as large meets them too.
 SMALL_SET = 16
 #: By how much more small sets' bits may differ: 4 shingles of 5 differ in 3 bits of 16, the angle of large sets gives 0.1515.
@@ -228,6 +230,8 @@ CELL, PARTS = 1 << 15, 8
 FOREST = 1_000_000
 #: What a cell is told of a set: point, size on a scale of logarithms, words of the Hamming check.
 RECORD = np.dtype([("p", "<u2"), ("s", "<u2"), ("w", "<u8", CHECK_WORDS)])
+#: Bit of a record's size where the set goes by another name than its first check word; such names travel beside the records.
+RENAMED = np.uint16(1 << 15)
 
 
 def table_weights(segments: int) -> np.ndarray:
@@ -273,10 +277,15 @@ def bits_within(share: float) -> int:
     return int(n * share + 4.6 * (n * share * (1 - share)) ** 0.5)
 
 
-def cells(words: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(table, records) of sets with these long fingerprints; sets of a middle size have a small and a large point."""
-    weights = [table_weights(SMALL_SEGMENTS), table_weights(SEGMENTS)]
-    is_small, is_large = size <= SMALL_SET / similarity + 1e-9, size > SMALL_SET
+def with_points(size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets have a small and which a large point; those of a middle size have both."""
+    return np.flatnonzero(size <= SMALL_SET / similarity + 1e-9), np.flatnonzero(size > SMALL_SET)
+
+
+def cells(words: np.ndarray, size: np.ndarray, similarity: float, tables: range = range(TABLES)) -> Iterator[tuple[int, np.ndarray]]:
+    """(table, records) of sets with these long fingerprints, the small points before the large ones of ``with_points``."""
+    weights = [table_weights(n)[:, tables.start : tables.stop] for n in (SMALL_SEGMENTS, SEGMENTS)]
+    is_small, is_large = with_points(size, similarity)
     bits = np.unpackbits(np.ascontiguousarray(words[:, :TABLE_WORDS]).view(np.uint8), axis=1, bitorder="little")
     counts = (bits[:, ::2] + bits[:, 1::2]).astype(np.float32)
     small, large = counts[is_small] @ weights[0] + 3**SEGMENTS, counts[is_large] @ weights[1]
@@ -284,17 +293,18 @@ def cells(words: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tu
     scale = np.log(np.concatenate([size[is_small], size[is_large]])) / np.log(1.01 / similarity)
     out["s"] = scale.astype(np.uint16)
     out["w"] = np.concatenate([words[is_small], words[is_large]])[:, TABLE_WORDS:]
-    for t in range(TABLES):
-        out["p"] = np.concatenate([small[:, t], large[:, t]])
+    for k, t in enumerate(tables):
+        out["p"] = np.concatenate([small[:, k], large[:, k]])
         yield t, out
 
 
-def cell_links(found: np.ndarray, similarity: float, cell: int = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words of fingerprints that are near in a cell, and records of cells of over ``cell``.
+def cell_links(found: np.ndarray, similarity: float, cell: int = CELL, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names (first check words where none are given) of fingerprints that are near in a cell, and records of cells of over ``cell``.
 
-    What is connected hangs on its least word: many cells of one group then have few different links.
+    What is connected hangs on its least name: many cells of one group then have few different links.
     """
-    found = found[np.lexsort((found["s"], found["p"]))]
+    order = np.lexsort((found["s"], found["p"]))
+    found, names = found[order], (found["w"][:, 0] if names is None else names)[order]
     p, s, w = found["p"], found["s"].astype(np.int16), found["w"]
     cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
     many = np.diff(cuts)
@@ -310,7 +320,7 @@ def cell_links(found: np.ndarray, similarity: float, cell: int = CELL) -> tuple[
     for a, b in zip(cuts[:-1][large].tolist(), cuts[1:][large].tolist(), strict=True):
         i, j = forest(w[a:b], int(radius[a]), until=np.searchsorted(s[a:b], s[a:b] + 1, "right"))
         out.append((a + i, a + j))
-    x, y = hung(w[:, 0], *(np.concatenate(c) for c in zip(*out, strict=True)))
+    x, y = hung(names, *(np.concatenate(c) for c in zip(*out, strict=True)))
     return x, y, found[(many > max(cell, 32)).repeat(many)]
 
 
@@ -325,43 +335,56 @@ def hung(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
 def _near(groups: DataFrame, similarity: float, cell: int) -> DataFrame:
     """(a, b): first check words of groups whose long fingerprints are near by Hamming distance and share a cell.
 
-    What a chunk of groups has in a part of a table is one row. Cells of over ``cell`` records come out as they are and are
-    dealt to blocks, of which every two meet.
+    What a chunk of groups has in a part of a table is one row. A group of copies has links in every table, up to one a table
+    for each member, so ``FIRST_TABLES`` are met first and what they connect is one name in the others: all cells of all
+    tables are compared, but the others give links between different names only. Cells of over ``cell`` records come out as
+    they are and are dealt to blocks, of which every two meet.
     """
     spark, n = groups.sparkSession, common.partitions(groups.sparkSession)
     parts = max(PARTS, -(-groups.count() // 200_000))
     chunk = min(8192, 256 * parts)
     least = similarity / (1 - similarity) - 1e-9 if similarity < 1 else float("inf")  # a smaller set is similar to no other
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch], tables: range) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, chunk):
-                size, prints = b.slice(k, chunk).columns
-                words = np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(size), -1)
-                at, blobs = [], []
-                for t, records in cells(words, size.to_numpy(zero_copy_only=False), similarity):
+                size, prints, name = b.slice(k, chunk).columns
+                size, words = size.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(size), -1)
+                who = np.concatenate(with_points(size, similarity))
+                renamed = name.is_valid().to_numpy(zero_copy_only=False)[who]
+                name = name.fill_null(0).to_numpy(zero_copy_only=False)[who]
+                at, blobs, names = [], [], []
+                for t, records in cells(words, size, similarity, tables):
                     part = (records["p"].astype(np.int64) * 40503 >> 8) % parts
                     order = np.argsort(part, kind="stable")
                     ends = np.searchsorted(part[order], np.arange(parts + 1))
-                    held = records[order]
+                    held, new = records[order], renamed[order]
+                    held["s"] |= RENAMED * new
+                    beside, until = name[order][new], np.r_[0, np.cumsum(new)][ends]
                     some = np.flatnonzero(np.diff(ends))
                     at += (t * parts + some).tolist()
                     blobs += [held[ends[q] : ends[q + 1]].tobytes() for q in some]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["at", "records"])
+                    names += [beside[until[q] : until[q + 1]].tobytes() for q in some]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary()), pa.array(names, pa.binary())], ["at", "records", "names"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
         for b in batches:
-            for at, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for at, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != last:
                     yield from near(last, held)
                     last, held = at, []
-                held.append(blob)
+                held.append(blobs)
         yield from near(last, held)
 
-    def near(at: int | None, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def near(at: int | None, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         if blobs:
-            x, y, crowded = cell_links(np.frombuffer(b"".join(blobs), RECORD), similarity, cell)
+            records, beside = (b"".join(x) for x in zip(*blobs, strict=True))
+            records = np.frombuffer(records, RECORD).copy()
+            names, renamed = records["w"][:, 0].copy(), records["s"] >= RENAMED
+            names[renamed] = np.frombuffer(beside, np.uint64)
+            records["s"] &= ~RENAMED
+            x, y, crowded = cell_links(records, similarity, cell, names)
             yield batch(x, y, None, None)
             for k in range(0, len(crowded), cell):
                 r = crowded[k : k + cell]
@@ -371,10 +394,18 @@ def _near(groups: DataFrame, similarity: float, cell: int) -> DataFrame:
         rest = [pa.nulls(len(a), kind) if x is None else pa.array(x, kind) for x, kind in ((p, pa.int64()), (s, pa.int32()))]
         return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)), *rest], ["a", "b", "p", "s"])
 
-    rows = groups.where(F.col("_size") >= least).select("_size", "_print").mapInArrow(spread, "at int, records binary")
-    dealt = rows.repartition(n, "at").sortWithinPartitions("at")
-    got = common.cut(dealt.mapInArrow(meet, "a long, b long, p long, s int").distinct())
-    links, crowded = got.where("p is null").select("a", "b"), got.where("p is not null")
+    def met_in(tables: range, named: DataFrame) -> DataFrame:
+        rows = named.select("_size", "_print", "_name").mapInArrow(lambda batches: spread(batches, tables), "at int, records binary, names binary")
+        dealt = rows.repartition(n, "at").sortWithinPartitions("at")
+        return common.cut(dealt.mapInArrow(meet, "a long, b long, p long, s int").distinct())
+
+    groups = groups.where(F.col("_size") >= least)
+    first = met_in(range(FIRST_TABLES), groups.withColumn("_name", F.lit(None).cast("long")))
+    joined_first = _forests(first.where("p is null").select("a", "b"))
+    name = common.components(joined_first).select(F.col("node").alias("_near"), F.col("component").alias("_name"))
+    others = met_in(range(FIRST_TABLES, TABLES), groups.join(name, "_near", "left"))
+    links = joined_first.union(others.where("p is null").select("a", "b"))
+    crowded = first.union(others).where("p is not null")
     blocks = crowded.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / cell).alias("m"))
     crowded = crowded.join(blocks, "p").withColumns({"mine": F.pmod(F.xxhash64("a", "b"), "m"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))})
     crowded = crowded.select("p", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "s", "a", "b")

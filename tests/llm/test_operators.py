@@ -288,6 +288,37 @@ def test_crowded_cells_are_dealt_to_blocks(spark):
     assert sorted(map(tuple, simhash.similar_texts(table(spark, rows), cell=20).collect())) == list(enumerate(components(150, links)))
 
 
+def test_large_groups_give_few_links(spark, monkeypatch):
+    r = random.Random(14)
+    rows = []
+    for g, words in enumerate([22] * 60 + [150]):  # many small groups and a large one, of texts on both sides of the similarity
+        base = [f"w{g}_{i}" for i in range(words)]
+        for _ in range(6 if words == 22 else 300):
+            w = list(base)
+            for _ in range(r.randint(0, 1 if words == 22 else 4)):
+                w[r.randrange(words)] = f"x{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w), "a", None))
+    groups = simhash._similar(table(spark, rows), "doc_id", "text", 5, 0.8)[1]
+    sets = groups.where("_size >= 4").select("_size", "_print", "_near").collect()
+    words, at = np.stack([np.frombuffer(x._print, np.uint64) for x in sets]), {x._near: i for i, x in enumerate(sets)}
+    by_table = [simhash.cell_links(records, 0.8)[:2] for _, records in simhash.cells(words, np.array([x._size for x in sets]), 0.8)]
+    links = [(at[x], at[y]) for a, b in by_table for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())]
+    cut, made = simhash.common.cut, []
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b", "p", "s"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.common, "cut", counted)
+    for cell in (simhash.CELL, 20):
+        made.clear()
+        got = [(at[x.a], at[x.b]) for x in simhash._near(groups, 0.8, cell).collect()]
+        assert components(len(sets), got) == components(len(sets), links)
+        assert cell == 20 or sum(made) < 8 * len(sets) < len(links) / 4
+
+
 def test_forests_join_the_same(spark, monkeypatch):
     r = random.Random(13)
     edges = [(r.randint(0, 30), r.randint(0, 30)) for _ in range(300)] + [(100 + r.randint(0, 40), 100 + r.randint(0, 40)) for _ in range(25)]
