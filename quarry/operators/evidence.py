@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quarry.functions import text as T
 
@@ -18,10 +19,23 @@ ROUTINE = ("function", "method")
 
 
 def batch_impacts(files: DataFrame, symbols: DataFrame, impacts: DataFrame) -> DataFrame:
-    """(batch, impact): impacts whose file is among a batch's files (batch, path), or whose symbol among its symbols (batch, symbol)."""
-    by_file = impacts.join(files, impacts["changed_file"] == files["path"]).select("batch", "impact")
-    by_symbol = impacts.join(symbols, "symbol").select("batch", "impact")
-    return by_file.union(by_symbol).distinct()
+    """(batch, impact): impacts whose file is among a batch's files (batch, path), or whose symbol among its symbols (batch, symbol).
+
+    A file's and a symbol's batches are gathered once each, so that an impact meets two rows and not one for each time that
+    its file or symbol is named. Only what an impact of several files or symbols gives has to be made distinct.
+    """
+    kind = files.select("batch").union(symbols.select("batch")).schema["batch"].dataType
+    none = F.array().cast(ArrayType(kind))
+
+    def gathered(rows: DataFrame, by: str, to: str, name: str) -> DataFrame:
+        batch = F.col("batch").cast(kind)
+        null = F.when(F.bool_or(batch.isNull()), F.array(F.lit(None).cast(kind))).otherwise(none)
+        return rows.groupBy(F.col(by).alias(to)).agg(F.concat(F.collect_set(batch), null).alias(name))
+
+    one = impacts.select("impact", "changed_file", "symbol").distinct().withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("impact")))
+    met = one.join(gathered(files, "path", "changed_file", "_f"), "changed_file", "left").join(gathered(symbols, "symbol", "symbol", "_s"), "symbol", "left")
+    of = lambda rows: rows.select(F.explode(F.array_union(F.coalesce("_f", none), F.coalesce("_s", none))).alias("batch"), "impact")
+    return of(met.where("_n = 1")).union(of(met.where("_n > 1")).distinct())
 
 
 def batch_context(files: DataFrame, context: DataFrame) -> DataFrame:

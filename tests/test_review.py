@@ -83,3 +83,26 @@ def test_source_budget():
 def test_defines(spark, path, line, name, want):
     df = spark.createDataFrame([(path, line, name)], "path string, line string, name string")
     assert df.select(T.defines(F.col("path"), F.col("line"), F.col("name"))).first()[0] == want
+
+
+def most_rows(df):
+    """The most rows that any step of the plan put out."""
+    df.collect()
+    stack, most = [df._jdf.queryExecution().executedPlan()], 0
+    while stack:
+        node = stack.pop()
+        metrics, kind = node.metrics(), node.getClass().getSimpleName()
+        most = max(most, metrics.apply("numOutputRows").value() if metrics.contains("numOutputRows") else 0)
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        stack += below
+    return most
+
+
+def test_impacts_of_a_batch_do_not_meet_each_naming_of_a_file(spark):
+    files = spark.sql("select id % 2 as batch, 'f' as path from range(400)")
+    symbols = spark.sql("select 1 as batch, 's' as symbol from range(400) union all select null, 's'")
+    impacts = spark.sql("select id as impact, 'f' as changed_file, 's' as symbol from range(300) union all select 0, 'g', 's' union all select 0, 'g', 's' union all select null, 'f', null union all select 7000, 'g', 't'")
+    got = E.batch_impacts(files, symbols, impacts)
+    want = {(b, i) for i in range(300) for b in (0, 1, None)} | {(0, None), (1, None)}
+    assert most_rows(got) < 2000
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
