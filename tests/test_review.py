@@ -106,3 +106,13 @@ def test_impacts_of_a_batch_do_not_meet_each_naming_of_a_file(spark):
     want = {(b, i) for i in range(300) for b in (0, 1, None)} | {(0, None), (1, None)}
     assert most_rows(got) < 2000
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_findings_do_not_meet_each_impact_of_their_file(spark):
+    findings = spark.sql("select id as finding, 'f' as file, cast(null as string) as symbol, 'on s' || id % 3 as message from range(300) union all select 300, 'g', 'x', null union all select 301, 'h', 'x', '' union all select 302, 'e', 'y', 'y'")
+    impacts = spark.sql("select id + 5 as ord, 'f' as changed_file, 's' || id % 2 as symbol from range(400) union all select 900, 'g', 'z' union all select 901, 'h', '' union all select 902, 'h', null")
+    changes = spark.sql("select 3 as ord, 'f' as file, 's1' as symbol union all select 2, 'f', 's1' union all select 4, 'g', 'z' union all select 5, 'h', 'x'")
+    got = E.report_rows(findings, impacts, changes)
+    want = {(i, (5, 6, None)[i % 3], 2 if i % 3 == 1 else None) for i in range(300)} | {(300, 900, 4), (301, None, 5), (302, None, None)}
+    assert most_rows(got) < 2000
+    assert set(map(tuple, got.collect())) == want
