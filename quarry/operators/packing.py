@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -40,51 +41,122 @@ def unit_ids(units: DataFrame, risk: str, arrival: str, prefix: str = "full-scan
     return rows.join(F.broadcast(sizes), "_r").withColumn("unit_id", F.concat(F.lit(prefix), n.cast("string"))).drop("_m", "_r", "_s")
 
 
+class NextFit:
+    """Batch number (from 1) of each file in order: a batch is closed by the first file that does not fit."""
+
+    def __init__(self, most_files: int = 5, most_lines: int = 1200):
+        self.most_files, self.most_lines = most_files, most_lines
+        self.batch, self.held, self.n = 1, 0, 0
+
+    def add(self, lines: int) -> int:
+        if self.n and (self.n >= self.most_files or self.held + lines > self.most_lines):
+            self.batch, self.held, self.n = self.batch + 1, 0, 0
+        self.held, self.n = self.held + lines, self.n + 1
+        return self.batch
+
+
+class FirstFit:
+    """Unit number (from 0) of each file in order: the first unit with room.
+
+    A tree over the units holds the most room for lines and for characters below each node (-1 where no file may come), so
+    that the first unit with room is found without looking at each one before it.
+    """
+
+    def __init__(self, most_files: int = 8, most_lines: int = 900, most_chars: int = 45_000):
+        self.most = (most_files, most_lines, most_chars)
+        self.n, self.width = 0, 1
+        self.files, self.lines, self.chars = array("l", [0]), array("l", [-1, -1]), array("l", [-1, -1])
+
+    def _widen(self) -> None:
+        old, self.width = self.width, 2 * self.width
+        self.files.extend([0] * old)
+        for name in ("lines", "chars"):
+            was, now = getattr(self, name), array("l", [-1]) * (2 * self.width)
+            at = 1
+            while at <= old:  # a level of the old tree is the left half of one of the new tree
+                now[2 * at : 3 * at] = was[at : 2 * at]
+                at *= 2
+            now[1] = was[1]
+            setattr(self, name, now)
+
+    def _find(self, lines: int, chars: int) -> int:
+        """The first unit with room, or the number of units."""
+        at, left, right, width = 1, self.lines, self.chars, self.width
+        while True:
+            if left[at] >= lines and right[at] >= chars:
+                if at >= width:
+                    return at - width
+                at *= 2
+            else:
+                while at & 1:  # behind a right child its parent's right neighbour is next
+                    at >>= 1
+                if not at:
+                    return self.n
+                at += 1
+
+    def add(self, lines: int, chars: int) -> int:
+        most_files, most_lines, most_chars = self.most
+        unit = self._find(lines, chars)
+        if unit == self.n:
+            self.n += 1
+            if self.n > self.width:
+                self._widen()
+            room = (most_lines - lines, most_chars - chars)
+        else:
+            room = (self.lines[self.width + unit] - lines, self.chars[self.width + unit] - chars)
+        self.files[unit] += 1
+        at = self.width + unit
+        self.lines[at], self.chars[at] = (-1, -1) if self.files[unit] >= most_files or min(room) < 0 else room
+        at >>= 1
+        while at:
+            a, b = max(self.lines[2 * at], self.lines[2 * at + 1]), max(self.chars[2 * at], self.chars[2 * at + 1])
+            if self.lines[at] == a and self.chars[at] == b:
+                break
+            self.lines[at], self.chars[at] = a, b
+            at >>= 1
+        return unit
+
+
 def next_fit(rows: list[tuple[str, int]], most_files: int = 5, most_lines: int = 1200) -> list[int]:
-    """Batch number (from 1) of each (name, lines) in order: a batch is closed by the first row that does not fit."""
-    out, batch, held, n = [], 1, 0, 0
-    for _, lines in rows:
-        if n and (n >= most_files or held + lines > most_lines):
-            batch, held, n = batch + 1, 0, 0
-        held, n = held + lines, n + 1
-        out.append(batch)
-    return out
+    """Batch number (from 1) of each (name, lines) in order."""
+    plan = NextFit(most_files, most_lines)
+    return [plan.add(lines) for _, lines in rows]
 
 
 def first_fit(sizes: list[tuple[int, int]], most_files: int = 8, most_lines: int = 900, most_chars: int = 45_000) -> list[int]:
-    """Unit number (from 0) of each (lines, chars) in order: the first unit with room."""
-    units: list[list[int]] = []
-    out = []
-    for lines, chars in sizes:
-        at = next((k for k, (n, a, b) in enumerate(units) if n < most_files and a + lines <= most_lines and b + chars <= most_chars), len(units))
-        if at == len(units):
-            units.append([0, 0, 0])
-        unit = units[at]
-        unit[0], unit[1], unit[2] = unit[0] + 1, unit[1] + lines, unit[2] + chars
-        out.append(at)
-    return out
+    """Unit number (from 0) of each (lines, chars) in order."""
+    plan = FirstFit(most_files, most_lines, most_chars)
+    return [plan.add(*s) for s in sizes]
 
 
-def batches(files: DataFrame, group: str, most_files: int = 5, most_lines: int = 1200) -> DataFrame:
-    """Next-fit batches within a group, in order of path: (group, path, n_lines, batch)."""
+def _planned(files: DataFrame, group: str, sizes: Sequence[str], plan: Callable[[], NextFit | FirstFit], kept: Sequence[str], name: str) -> DataFrame:
+    """(group, path, kept, name): the number that ``plan`` gives each file of a group by its sizes, in order of path.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("path")
-        rows["batch"] = next_fit(list(zip(rows["path"], rows["n_lines"], strict=True)), most_files, most_lines)
-        return rows
+    A group's rows pass through one task as Spark has sorted them; only the plan is held.
+    """
 
-    return files.select(group, "path", "n_lines").groupBy(group).applyInPandas(run, f"{group} string, path string, n_lines int, batch int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, add = (), None
+        for b in batches:
+            out = []
+            for g, *x in zip(b.column(0).to_pylist(), *(b.column(k + 2).to_pylist() for k in range(len(sizes))), strict=True):
+                if add is None or g != now:
+                    now, add = g, plan().add
+                out.append(add(*x))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(b.column(2 + sizes.index(k)) for k in kept), pa.array(out, pa.int32())], [group, "path", *kept, name])
 
+    rows = files.select(group, "path", *sizes).repartition(group).sortWithinPartitions(group, "path")
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in (group, "path", *kept)) + f", `{name}` int")
 
-def small_units(files: DataFrame, language: str = "language") -> DataFrame:
-    """First-fit units of small files of one language, in order of path: (language, path, unit)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("path")
-        rows["unit"] = first_fit(list(zip(rows["n_lines"], rows["n_chars"], strict=True)))
-        return rows[[language, "path", "unit"]]
+def batches(files: DataFrame, group: str, most_files: int = 5, most_lines: int = 1200) -> DataFrame:
+    """Next-fit batches within a group, in order of path: (group, path, n_lines, batch)."""
+    return _planned(files, group, ["n_lines"], lambda: NextFit(most_files, most_lines), ["n_lines"], "batch")
 
-    return files.select(language, "path", "n_lines", "n_chars").groupBy(language).applyInPandas(run, f"{language} string, path string, unit int")
+
+def small_units(files: DataFrame, language: str = "language") -> DataFrame:
+    """First-fit units of small files of one language, in order of path: (language, path, unit)."""
+    return _planned(files, language, ["n_lines", "n_chars"], FirstFit, [], "unit")
 
 
 def balance(units: list[tuple[str, int, int, int]], n_shards: int, lines: int = 6000, chars: int = 300_000, per: int = 24) -> dict[str, int]:

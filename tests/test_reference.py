@@ -1,5 +1,8 @@
 """Operators of the base package on small inputs."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +187,34 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("docs/design/x.md", "Drop Table a; password")], "path string, content string")
     got = df.select(T.priority(F.col("path")), T.risk_score(F.lit("auth/User.py"), F.col("content")), T.safe_relative(F.lit("../x")), T.clamp(F.lit("99"), 1, 1, 20), T.clamp(F.lit("q"), 4, 1, 20), T.skipped(F.lit("a\\vendor\\b.py"))).first()
     assert tuple(got) == (2, 16, False, 20, 4, True)
+
+
+def test_first_fit_looks_at_few_units(spark):
+    def plain(sizes):
+        units, out = [], []
+        for lines, chars in sizes:
+            at = next((k for k, (n, a, b) in enumerate(units) if n < 8 and a + lines <= 900 and b + chars <= 45_000), len(units))
+            units += [[0, 0, 0]] * (at == len(units))
+            n, a, b = units[at]
+            units[at] = [n + 1, a + lines, b + chars]
+            out.append(at)
+        return out
+
+    some = random.Random(1)
+    for most in ((250, 12_000), (900, 45_000), (1000, 50_000), (3, 3)):
+        sizes = [(some.randint(0, most[0]), some.randint(0, most[1])) for _ in range(700)]
+        assert P.first_fit(sizes) == plain(sizes)
+    began = time.monotonic()
+    assert P.first_fit([(500, 9)] * 40_000) == list(range(40_000))
+    assert time.monotonic() - began < 15
+
+
+def test_units_of_languages_in_order_of_path(spark):
+    df = spark.sql("select case id % 3 when 0 then 'go' when 1 then 'py' end as language, 'p' || id as path, cast(id % 400 as int) as n_lines, cast(id as int) as n_chars from range(3000)").repartition(5)
+    got = {(r.language, r.path): r.unit for r in P.small_units(df).collect()}
+    batch = {(r.language, r.path): r.batch for r in P.batches(df, "language").collect()}
+    for k, lang in enumerate(("go", "py", None)):
+        ids = sorted((i for i in range(3000) if i % 3 == k), key=lambda i: f"p{i}")
+        assert [got[lang, f"p{i}"] for i in ids] == P.first_fit([(i % 400, i) for i in ids])
+        assert [batch[lang, f"p{i}"] for i in ids] == P.next_fit([(f"p{i}", i % 400) for i in ids])
+    assert len(got) == len(batch) == 3000
