@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,23 @@ def test_units_of_languages_in_order_of_path(spark):
         assert [got[lang, f"p{i}"] for i in ids] == P.first_fit([(i % 400, i) for i in ids])
         assert [batch[lang, f"p{i}"] for i in ids] == P.next_fit([(f"p{i}", i % 400) for i in ids])
     assert len(got) == len(batch) == 3000
+
+
+def test_diffs_of_a_batch_are_not_held_at_once(spark):
+    text = "--- a/x\n+++ b/x\n@@ -1,300 +1,300 @@\n" + " y\n" * 300
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(100)]), pa.array([text] * 99 + [None])], ["diff_id", "diff"])
+    taken = []
+
+    def inputs():
+        for k in range(3):
+            taken.append(k)
+            yield batch
+
+    df = spark.createDataFrame([(str(i), text) for i in range(100)], "diff_id string, diff string").coalesce(1)
+    sizes = diffs.diff_lines(df).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long")
+    assert sum(r.n for r in sizes.collect()) == 30_000 and max(r.n for r in sizes.collect()) <= 10_000
+    out = diffs.parsed(inputs(), held=1000)
+    first = next(out)
+    assert first.num_rows == 1000 and taken == [0]
+    assert first.num_rows + sum(b.num_rows for b in out) == 3 * 99 * 300
+    assert max(b.num_rows for b in diffs.parsed([batch], chars=50)) == 50
