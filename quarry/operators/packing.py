@@ -27,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str, mb: int = 32, most: int = 4096) -> DataFrame:
+    """df by its keys, in a task for each ``mb`` of its estimated size: no fewer than Spark's own number, so that a task's share
+    does not grow with the input. ``most`` holds where Spark has no estimate."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(most, -(-size // (mb << 20))))
+    return df.repartition(n, *keys)
+
+
 def unit_ids(units: DataFrame, risk: str, arrival: str, prefix: str = "full-scan-unit-") -> DataFrame:
     """units with unit_id: numbered from 1 by falling risk, and by arrival among equals.
 

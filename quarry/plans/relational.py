@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.operators.packing import spread
+
 #: name: (Spark SQL, SQL for the check where it differs). Money is added up as decimals, so that the order of rows does not show.
 _NET = "CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
 VIEWS: dict[str, str] = {
@@ -26,11 +28,15 @@ VIEWS: dict[str, str] = {
     "view_supplier_stock": "SELECT s_suppkey, s_name, count(DISTINCT l_partkey) AS n_parts, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS quantity FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name",
 }
 TABLES = ("customer", "lineitem", "nation", "orders", "part", "supplier")
+#: Views that hold different values of a key in memory, and the column by which their lines are spread over more tasks for more input.
+SPREAD = {"view_supplier_stock": "l_suppkey"}
 
 
-def _view(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def _view(text: str, spread_by: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in text}
+        if spread_by:
+            used["lineitem"] = spread(used["lineitem"].select("l_partkey", "l_quantity", spread_by), spread_by, mb=2)
         named = text.replace("datediff('day', CAST(o_orderdate AS TIMESTAMP), TIMESTAMP '2000-01-01 00:00:00')", "datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE))")
         for t in used:
             for before in ("FROM ", "JOIN "):
@@ -41,7 +47,7 @@ def _view(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _view(v) for k, v in VIEWS.items()}
+    return {k: _view(v, SPREAD.get(k)) for k, v in VIEWS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
