@@ -239,3 +239,17 @@ def test_diffs_of_a_batch_are_not_held_at_once(spark):
     assert first.num_rows == 1000 and taken == [0]
     assert first.num_rows + sum(b.num_rows for b in out) == 3 * 99 * 300
     assert max(b.num_rows for b in diffs.parsed([batch], chars=50)) == 50
+
+
+def test_sql_rules_sort_no_text(spark):
+    sql = "-- a,\nselect a,\n-- b\n\nfrom t\n)\n)(\n--)\n(", "-- only ' ("
+    got = C.sql_findings(C.numbered(files(spark, ("q.sql", sql[0]), ("c.sql", sql[1]))))
+    want = [("q.sql", 2, "comma_before_clause"), ("q.sql", 6, "closing_parenthesis"), ("q.sql", 9, "open_parenthesis")]
+    assert rows(got.select("path", "line", "rule")) == want
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") and not any("content" in line or " s#" in line for line in plan.splitlines() if "Window" in line or "Exchange" in line)
+
+
+def test_more_input_is_spread_over_more_tasks(spark):
+    tasks = [P.spread(spark.range(n), "id", mb=1).rdd.getNumPartitions() for n in (10, 1_000_000, 4_000_000)]
+    assert tasks == [4, 8, 31]
